@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.conversations import bare_identifier, sender_address
+from graphloom.llm.conversations import bare_identifier, instant_of, sender_address
 from graphloom.llm.trees import BoostedTrees
 from graphloom.session import materialize
 from graphloom.skew import lookup_join
@@ -260,15 +260,18 @@ def prepared(rows: DataFrame, ancestors: int = 3) -> DataFrame:
         bare_identifier(F.col("parent_id")).alias("up"),
         F.col("from").alias("sender_field"),
         F.coalesce(sender_address(F.col("from")), F.lit("")).alias("sender"),
+        instant_of(F.col("date")).alias("at"),
         "body",
     ).where("msg is not null and body is not null")
     base = materialize(base.dropDuplicates(["msg"]), "bodies")
-    by_id = base.where("id is not null").groupBy("id").agg(F.min_by(F.struct("up", "body"), "msg").alias("m"))
-    by_id = materialize(by_id.select(F.col("id").alias("up"), F.col("m.up").alias("_up"), F.col("m.body").alias("_body")), "by_id")
+    by_id = base.where("id is not null").groupBy("id").agg(F.min_by(F.struct("up", "body", "at"), "msg").alias("m"))
+    by_id = materialize(by_id.select(F.col("id").alias("up"), F.col("m.up").alias("_up"), F.col("m.body").alias("_body"), F.col("m.at").alias("_at")), "by_id")
     df = base.withColumn("old", F.array().cast("array<string>"))
+    # parents may go in a circle: what was sent later is no ancestor, nor is the message itself
+    earlier = F.col("_body").isNotNull() & ~F.coalesce(F.col("_at") >= F.col("at"), F.lit(False)) & ~F.col("_id").eqNullSafe(F.col("id"))
     for _ in range(ancestors):
-        df = lookup_join(df, by_id, "up", "left")
-        df = df.withColumn("old", F.when(F.col("_body").isNotNull(), F.array_append("old", F.col("_body"))).otherwise(F.col("old"))).withColumn("up", F.col("_up")).drop("_up", "_body")
+        df = lookup_join(df, by_id, "up", "left").withColumn("_id", F.col("up"))
+        df = df.withColumn("old", F.when(earlier, F.array_append("old", F.col("_body"))).otherwise(F.col("old"))).withColumn("up", F.col("_up")).drop("_up", "_body", "_at", "_id")
     df = df.join(_line_frequencies(base.select("msg", "sender", "body")), "msg", "left")
     return df.select("msg", "id", "sender_field", "body", "old", "entries")
 
