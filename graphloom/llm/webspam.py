@@ -61,7 +61,10 @@ def features_of(text: str) -> list[float]:
     function = sum(w in FUNCTION_WORDS for w in own) / m
     sentence_chars, other = 0, []
     for line in lines:
-        if _URL.search(line) or line.lstrip().startswith("#"):
+        if line.lstrip().startswith("#"):
+            continue
+        line = _URL.sub(" ", _ANCHOR.sub(" ", line))
+        if not line.strip():
             continue
         ws = [w.lower() for w in _WORD.findall(line)]
         ends = line.rstrip()[-1] in ".?!;:,)" or len(ws) >= 9
