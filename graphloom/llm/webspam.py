@@ -119,6 +119,8 @@ def weak_labels(x: np.ndarray) -> np.ndarray:
     repeats = (at("top_pair_share") > 0.25) | (at("top_word_share") > 0.3)
     stuffed = repeats | ((at("pair_cover") > 0.5) & (at("function_share") < 0.14) & (at("top_pair_share") > 0.1))
     stuffed |= (at("rest_pair_cover") > 0.5) & (at("rest_words") > np.log1p(12)) & (at("top_pair_share") > 0.12)
+    # short lines that begin alike and hold nothing technical
+    stuffed |= (at("line_repeat") > 0.5) & (at("line_words") < np.log1p(7)) & (at("identifier_share") < 0.03) & (at("log_words") > np.log1p(25))
     linked = (at("url_share") > 0.35) & (at("bare_link_share") > 0.3)
     mixed = (at("url_share") > 0.15) & (at("bare_link_share") > 0.3) & (stuffed | (at("top_pair_share") > 0.1))
     tagged = (at("tag_share") > 0.3) | ((at("tag_share") > 0.05) & (at("price_share") > 0.4))
