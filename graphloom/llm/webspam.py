@@ -26,7 +26,7 @@ _ANCHOR = re.compile(r"<a\s[^<>]*>(.*?)</a>|\[([^\[\]]*)\]\([^()\s]*\)", re.I |
 _WORD = re.compile(r"[^\W_]+(?:_[^\W_]+)*")
 _TAG = re.compile(r"#\w+|\btags?\s*:", re.I)
 _PRICE = re.compile(r"\b\d+[.,]\d\d\b(?![.,]?\d)")
-_CODE = re.compile(r"[{}=*&\\]|->|::|/\*|\*/|\(\)|^\s*--\s|^(?:SELECT|UPDATE|SET|CREATE|EXPLAIN|INSERT|DELETE|ALTER)\b", re.M)
+_CODE = re.compile(r"[{}=\\]|->|::|/\*|\*/|\(\)|^\s*--\s|^(?:SELECT|UPDATE|SET|CREATE|EXPLAIN|INSERT|DELETE|ALTER)\b", re.M)
 _LOG = re.compile(r"^(?:\S+\s){0,3}(?:LOG|DEBUG\d?|ERROR|WARNING|INFO|NOTICE|FATAL|STATEMENT|DETAIL|HINT|CONTEXT)\s*:", re.M)
 _LEADERS = re.compile(r"\.{3,}\s*\d+\s*$", re.M)
 _PARAMETER = re.compile(r"^\s*[\w.-]+\s*(?:\([^()]*\)|=|:)\s", re.M)
@@ -120,7 +120,7 @@ def weak_labels(x: np.ndarray) -> np.ndarray:
     stuffed = repeats | ((at("pair_cover") > 0.5) & (at("function_share") < 0.14) & (at("top_pair_share") > 0.1))
     stuffed |= (at("rest_pair_cover") > 0.5) & (at("rest_words") > np.log1p(12)) & (at("top_pair_share") > 0.12)
     # short lines that begin alike and hold nothing technical
-    stuffed |= (at("line_repeat") > 0.5) & (at("line_words") < np.log1p(7)) & (at("identifier_share") < 0.03) & (at("log_words") > np.log1p(25))
+    stuffed |= (at("line_repeat") > 0.45) & (at("line_words") < np.log1p(7)) & (at("identifier_share") < 0.03) & (at("log_words") > np.log1p(25))
     linked = (at("url_share") > 0.35) & (at("bare_link_share") > 0.3)
     mixed = (at("url_share") > 0.15) & (at("bare_link_share") > 0.3) & (stuffed | (at("top_pair_share") > 0.1))
     tagged = (at("tag_share") > 0.3) | ((at("tag_share") > 0.05) & (at("price_share") > 0.4))
