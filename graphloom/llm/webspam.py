@@ -68,7 +68,8 @@ def features_of(text: str) -> list[float]:
             continue
         ws = [w.lower() for w in _WORD.findall(line)]
         ends = line.rstrip()[-1] in ".?!;:,)" or len(ws) >= 9
-        if ends and len(ws) >= 5 and sum(w in FUNCTION_WORDS for w in ws) >= 0.18 * len(ws):
+        least = 0.09 if line.rstrip()[-1] in ".?!" and len(ws) >= 6 else 0.18
+        if ends and len(ws) >= 5 and sum(w in FUNCTION_WORDS for w in ws) >= least * len(ws):
             sentence_chars += len(line)
         else:
             other += ws
