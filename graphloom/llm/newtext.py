@@ -241,9 +241,9 @@ def _line_frequencies(rows: DataFrame) -> DataFrame:
     lines = rows.select("msg", "sender", F.posexplode(F.split("body", "\n")).alias("p", "line"))
     lines = lines.where(F.trim("line") != "").select("msg", "sender", (F.col("p") + 1).alias("line_no"), F.xxhash64(F.trim("line")).alias("h"))
     by_sender = lines.groupBy("h", "sender").agg(F.count(F.lit(1)).alias("n_sender"))
-    total = F.broadcast(rows.agg(F.count(F.lit(1)).alias("total")))  # one row
-    overall = by_sender.groupBy("h").agg(F.sum("n_sender").alias("n_all")).where("n_all > 4").crossJoin(total)
-    overall = overall.select("h", (F.col("n_all") / F.col("total")).alias("rate"))
+    total = rows.agg(F.count(F.lit(1)).alias("total")).scalar()
+    overall = by_sender.groupBy("h").agg(F.sum("n_sender").alias("n_all")).where("n_all > 4")
+    overall = overall.select("h", (F.col("n_all") / total).alias("rate"))
     repeated = lookup_join(lines, overall, "h")
     pair = F.xxhash64("h", "sender").alias("k")
     counts = by_sender.where("n_sender > 1").select(pair, "n_sender").dropDuplicates(["k"])

@@ -176,12 +176,12 @@ def scored(spark: SparkSession, documents: DataFrame, sample: int = 20_000) -> D
             yield pd.Series(out)
 
     pages = materialize(pages.withColumn("page_score", judge("features")).select("doc", "host", "page_score"), "pages")
-    overall = F.broadcast(pages.agg(F.coalesce(F.avg("page_score"), F.lit(0.0)).alias("everywhere")))  # one row
+    everywhere = pages.agg(F.coalesce(F.avg("page_score"), F.lit(0.0))).first()[0]
     hosts = pages.where("host is not null").groupBy("host").agg(F.sum("page_score").alias("s"), F.count(F.lit(1)).alias("n"))
-    hosts = hosts.crossJoin(overall).select("host", ((F.col("s") + 20 * F.col("everywhere")) / (F.col("n") + 20)).alias("rate"), "everywhere")
+    hosts = hosts.select("host", ((F.col("s") + 20 * everywhere) / (F.col("n") + 20)).alias("rate"))
     joined = lookup_join(pages, hosts, "host", "left")
     logit = lambda c: F.log((c + 0.01) / (1.01 - c))
-    moved = logit(F.col("page_score")) + F.coalesce(0.25 * (logit(F.col("rate")) - logit(F.col("everywhere"))), F.lit(0.0))
+    moved = logit(F.col("page_score")) + F.coalesce(0.25 * (logit(F.col("rate")) - logit(F.lit(everywhere))), F.lit(0.0))
     return joined.select(F.col("doc").alias("doc_id"), "host", "page_score", (1 / (1 + F.exp(-moved))).alias("score"))
 
 
