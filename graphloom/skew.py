@@ -13,13 +13,10 @@ def hot_keys(keys: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
     """Keys with more than 1/``share`` of all non-null rows of ``keys``: at most ``share`` rows
     whatever the input, which is the size bound that lets callers broadcast them. The counts are
     combined before the shuffle, so a hot key reaches its reducer as one row a map task."""
-    n = keys.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = keys.where(F.col(key).isNotNull()).agg(F.count(F.lit(1)).alias("_total"))
-    return (
-        n.crossJoin(F.broadcast(total))  # one row
-        .where((F.col("_n") * share > F.col("_total")) & (F.col("_n") > share))
-        .select(key)
-    )
+    known = keys.where(F.col(key).isNotNull())
+    total = known.agg(F.count(F.lit(1)).alias("_total"))
+    n = known.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return n.where((F.col("_n") * share > total.scalar()) & (F.col("_n") > share)).select(key)
 
 
 def lookup_join(facts: DataFrame, lookup: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
