@@ -45,7 +45,7 @@ ADDRESS = re.compile(
     rf"|(?:P\. ?O\. ?Box|PO Box|Post(?:al)? Box|Postfach|BP|Apartado) \d[\d ]*\d?, (?:{_POSTAL} )?{_TOWN}(?: {_POSTAL})?"
     rf")(?![\w])"
 )
-NUMBER = re.compile(r"(?<![\w.+@/#~^{-])(?:\+ ?|\()?(?:[A-Z]{1,3}-?)?(?:[A-Z]{2,3} )?\d[\d]*(?:\)?[ ./-]\(?[\d]+\)?|\) ?\d+| [A-Z](?![\w])|[A-Z](?![\w]))*(?: ?(?:ext\.?|extension|x|Durchwahl|App\.) ?\d+)?(?![\w@/]|-\w|\.\d)", re.M)
+NUMBER = re.compile(r"(?<![\w.+@/#~^{-])(?:\+ ?|\()?(?:[A-Z]{1,3}-?)?(?:(?!ID|NO|NR)[A-Z]{2} )?\d[\d]*(?:\)?[ ./-]\(?[\d]+\)?|\) ?\d+| [A-Z](?![\w])|[A-Z](?![\w]))*(?: ?(?:ext\.?|extension|x|Durchwahl|App\.) ?\d+)?(?![\w@/]|-\w|\.\d)", re.M)
 _ID_LABEL = re.compile(r"(?:ssn|social security(?: number| no\.?)?|passport(?: number| no\.?)?(?:, it is)?|tax (?:id|number|no\.?)|national (?:id|insurance)(?: number| no\.?)?|identity (?:card|number)|id (?:card|number|no\.?)|personal (?:id|number)|steuer-?id|ausweis\w*)(?: is)?:?\s*$", re.I)
 
 _TOKEN = rf"(?:[A-ZÀ-ÖØ-Þ]\.(?:-?[A-ZÀ-ÖØ-Þ]\.)*|{_CAP})"
@@ -135,6 +135,8 @@ def candidates_of(text: str, field: str) -> list[tuple]:
                 lead = len(piece) - len(piece.lstrip())
                 a, b = m.start() + lead, m.end()
                 piece = body[a:b].strip()
+                if re.fullmatch(r"\([^()]*\)", piece):
+                    a, piece = a + 1, piece[1:-1]
                 if piece.startswith("(") and ")" not in piece:
                     a, piece = a + 1, piece[1:]
                 if piece.endswith(")") and "(" not in piece:
@@ -150,21 +152,20 @@ def candidates_of(text: str, field: str) -> list[tuple]:
             # openers before the name and sentence ends behind it are not part of it
             while True:
                 first = re.match(r"[\w'’-]+\.?(?:, | )?", piece)
-                if first and first[0].rstrip(" ,.") in OPENERS:
+                if first and (first[0].rstrip(" ,.") if len(first[0].rstrip(" ,.")) > 1 else first[0].rstrip(" ,")) in OPENERS:
                     a += first.end()
                     piece = piece[first.end() :]
                     continue
                 break
             if not piece or len(piece) < 2:
                 continue
-            if piece.count(", ") > 1:
-                piece = piece.split(", ")[0]
-            if piece.lower() in CLOSINGS:
-                continue
-            near, wide = _context(body, a, a + len(piece), before)
-            parts = [p.lower() for p in _NAME_PART.findall(piece)]
-            if len(parts) <= 6 and any(len(p) > 2 for p in parts):
-                out.append(("name", piece, near, wide, "", parts))
+            # a list of names is taken apart, "family, given" is kept together
+            for sub in piece.split(", ") if piece.count(", ") > 1 else [piece]:
+                at = piece.find(sub)
+                near, wide = _context(body, a + at, a + at + len(sub), before)
+                parts = [p.lower() for p in _NAME_PART.findall(sub)]
+                if sub.lower() not in CLOSINGS and len(parts) <= 6 and any(len(p) > 2 for p in parts):
+                    out.append(("name", sub, near, wide, "", parts))
         if field == "body" and anchor == "closing" and re.fullmatch(r"\s*[^\W\d_][\w'’-]*(?: [^\W\d_][\w'’.-]*){1,4}\s*", body) and body.strip() == body.strip().lower():
             sub = body.strip()
             out.append(("name", sub, "closing^ _$", "closing^ _$", "low", [p for p in re.sub(rf"\b({_PARTICLE}) ", lambda k: k[1].replace(" ", "~") + "~", sub).replace("~ ", "~").split(" ")]))
