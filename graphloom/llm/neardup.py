@@ -3,7 +3,7 @@
 Document frequencies are counted over all records into a table of fixed size (words share a slot by
 hash), so the weights can be handed to every task whatever the vocabulary. A record is sampled K
 times; two records agree in a sample with the probability of their weighted Jaccard similarity.
-Samples are joined in bands; a 128-bit sketch of further samples travels with each band row and
+Samples are joined in bands; a sketch of one bit of further samples meets with each pair and
 drops most chance meetings before the texts are compared. Records with the same words are one class:
 only one representative of a class is sampled, compared and joined.
 """
@@ -92,10 +92,10 @@ def similar_pairs(
     records: DataFrame,
     key: str,
     text: str,
-    similarity: float = 0.45,
-    rows: int = 4,
-    bands: int = 64,
-    sketch_bits: int = 128,
+    similarity: float = 0.5,
+    rows: int = 5,
+    bands: int = 80,
+    sketch_bits: int = 256,
     bucket_block: int = 500,
 ) -> tuple[DataFrame, DataFrame]:
     """(classes, links): classes(class, key, words) has every record with words and its class (the
@@ -129,36 +129,45 @@ def similar_pairs(
                     acc = np.zeros((len(pdf), bands), "uint64")
                     for i in range(rows):
                         acc = _mix(acc * np.uint64(31) + drawn[:, i:samples:rows])
-                yield pd.DataFrame({"class": pdf["class"].to_numpy(), "bands": list(acc.view("int64")), "lo": sketch[:, :8].copy().view("int64")[:, 0], "hi": sketch[:, 8:16].copy().view("int64")[:, 0]})
+                yield pd.DataFrame({"class": pdf["class"].to_numpy(), "bands": list(acc.view("int64")), "sketch": list(sketch.copy().view("int64"))})
 
     # spread small inputs over the cores: the sampling is arithmetic, not reading
     spread = classes.select("class", "words").repartition(spark.sparkContext.defaultParallelism * 2)
-    sampled = spread.mapInPandas(sample, "class bigint, bands array<bigint>, lo bigint, hi bigint")
-    banded = materialize(sampled, "bands").select("class", "lo", "hi", F.posexplode("bands").alias("band", "bucket"))
+    sampled = spread.mapInPandas(sample, "class bigint, bands array<bigint>, sketch array<bigint>")
+    sampled = materialize(sampled, "bands")
+    banded = sampled.select("class", F.posexplode("bands").alias("band", "bucket"))
     # which buckets are shared: counted with map-side combination, so hot buckets stay small
     shared = banded.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     shared = shared.withColumn("blocks", F.ceil(F.col("m") / bucket_block).cast("int")).drop("m")
-    rows_in = materialize(banded.join(shared, ["band", "bucket"]), "shared")
+    rows_in = materialize(banded.join(shared, ["band", "bucket"]).join(sampled.select("class", "sketch"), "class"), "shared")
     block = F.pmod(F.xxhash64("class"), F.col("blocks").cast("bigint")).cast("int")
-    left = rows_in.select("band", "bucket", F.col("class").alias("a"), F.col("lo").alias("la"), F.col("hi").alias("ha"), block.alias("block"))
-    right = rows_in.select("band", "bucket", F.col("class").alias("b"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    left = rows_in.select("band", "bucket", F.col("class").alias("a"), F.col("sketch").alias("sa"), block.alias("block"))
+    right = rows_in.select("band", "bucket", F.col("class").alias("b"), F.col("sketch").alias("sb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     # agreement of 1-bit samples is (1 + similarity) / 2 on average; 3.7 deviations below it are let through
     p = (1 + similarity) / 2
     differing = int(sketch_bits * (1 - p) + 3.7 * (sketch_bits * p * (1 - p)) ** 0.5)
-    apart = F.bit_count(F.col("la").bitwiseXOR(F.col("lb"))) + F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
+    apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(sketch_bits // 64)), F.lit(0))
     candidates = left.join(right, ["band", "bucket", "block"]).where((F.col("a") < F.col("b")) & (apart <= differing)).select("a", "b").distinct()
     words_a = classes.select(F.col("class").alias("a"), F.col("words").alias("wa"))
     words_b = classes.select(F.col("class").alias("b"), F.col("words").alias("wb"))
 
     @F.pandas_udf("double")
     def weighted(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        table = idf.value
-        out = []
-        for x, y in zip(xs, ys):
-            x, y = set(x), set(y)
-            w = lambda s: float(sum(table[xxhash.xxh64_intdigest(t, seed=42) & (FREQUENCY_SLOTS - 1)] for t in s))
-            out.append(w(x & y) / w(x | y))
-        return pd.Series(out, dtype="float64")
+        # the sets of all pairs at once: entries (pair, word) of both sides, those met twice are common
+        table, memo = idf.value, {}
+        sides = []
+        for side in (xs, ys):
+            flat = [w for ws in side for w in ws]
+            for w in set(flat) - memo.keys():
+                memo[w] = xxhash.xxh64_intdigest(w, seed=42)
+            h = np.array([memo[w] for w in flat], "uint64")
+            sides.append((np.repeat(np.arange(len(side)), [len(ws) for ws in side]), h, table[(h & np.uint64(FREQUENCY_SLOTS - 1)).astype("int64")].astype("float64")))
+        sums = sum(np.bincount(at, w, len(xs)) for at, _, w in sides)
+        at, h, w = (np.concatenate(c) for c in zip(*sides))
+        order = np.lexsort((h, at))
+        twice = np.flatnonzero((at[order][1:] == at[order][:-1]) & (h[order][1:] == h[order][:-1]))
+        both = np.bincount(at[order][twice], w[order][twice], len(xs))
+        return pd.Series(both / np.maximum(sums - both, 1e-12))
 
     compared = candidates.join(words_a, "a").join(words_b, "b").withColumn("weighted", weighted("wa", "wb"))
     common = F.size(F.array_intersect("wa", "wb"))

@@ -45,7 +45,7 @@ ADDRESS = re.compile(
     rf"|(?:P\. ?O\. ?Box|PO Box|Post(?:al)? Box|Postfach|BP|Apartado) \d[\d ]*\d?, (?:{_POSTAL} )?{_TOWN}(?: {_POSTAL})?"
     rf")(?![\w])"
 )
-NUMBER = re.compile(r"(?<![\w.+@/#~^{-])(?:\+ ?|\()?(?:[A-Z]{1,3}-?)?(?:(?!ID|NO|NR)[A-Z]{2} )?\d[\d]*(?:\)?[ ./-]\(?[\d]+\)?|\) ?\d+| [A-Z](?![\w])|[A-Z](?![\w]))*(?: ?(?:ext\.?|extension|x|Durchwahl|App\.) ?\d+)?(?![\w@/]|-\w|\.\d)", re.M)
+NUMBER = re.compile(r"(?<![\w.+@/#~^{-])(?:\+ ?|\()?(?:[A-Z]{1,3}-?(?=\d)|(?!ID|NO|NR)[A-Z]{2} )?\d[\d]*(?:\)?[ ./-]\(?[\d]+\)?|\) ?\d+| [A-Z](?![\w])|[A-Z](?![\w]))*(?: ?(?:ext\.?|extension|x|Durchwahl|App\.) ?\d+)?(?![\w@/]|-\w|\.\d)", re.M)
 _ID_LABEL = re.compile(r"(?:ssn|social security(?: number| no\.?)?|passport(?: number| no\.?)?(?:, it is)?|tax (?:id|number|no\.?)|national (?:id|insurance)(?: number| no\.?)?|identity (?:card|number)|id (?:card|number|no\.?)|personal (?:id|number)|steuer-?id|ausweis\w*)(?: is)?:?\s*$", re.I)
 
 _TOKEN = rf"(?:[A-ZÀ-ÖØ-Þ]\.(?:-?[A-ZÀ-ÖØ-Þ]\.)*|{_CAP})"

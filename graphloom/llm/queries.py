@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import conversations, defects, leakage, neardup, newtext, packing, webspam
+from graphloom.llm import conversations, defects, leakage, neardup, newtext, packing, pii, webspam
 from graphloom.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.personal_data(spark, table(spark, d, "mail_raw"), table(spark, d, "known_name"))
+
+
+def p1_masked(spark: SparkSession, d: str) -> DataFrame:
+    return pii.masked(spark, table(spark, d, "mail_raw"), table(spark, d, "known_name"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.alike_questions(spark, table(spark, d, "all_qa_merged"))
 
@@ -74,7 +82,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p4_found, p4_classes, p5_found, p5_roles, p6_found, p6_text, p7_found, p8_windows, p8_unused, p9_found, p9_paraphrased, p10_found)
+    f.__name__: f for f in (p1_found, p1_masked, p4_found, p4_classes, p5_found, p5_roles, p6_found, p6_text, p7_found, p8_windows, p8_unused, p9_found, p9_paraphrased, p10_found)
 }
 
 _FOLD = "translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
