@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from graphloom.plans import delivery
+from graphloom.plans import delivery, traversals
 
-QUERIES = {**delivery.QUERIES}
-ORACLES = {**delivery.ORACLES}
+_MODULES = (delivery, traversals)
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
