@@ -291,21 +291,27 @@ def train(spark: SparkSession, ready: DataFrame, rows: DataFrame, sample: int =
     quoted = replies.select("id", F.explode(F.split("body", "\n")).alias("line")).where(F.col("line").rlike(r"^\s?>\s?[^>\s]"))
     quoted = quoted.select("id", F.trim(F.regexp_replace("line", r"^\s?>\s?", "")).alias("line")).distinct()
     quoted = quoted.groupBy("id").agg(F.slice(F.collect_set("line"), 1, 200).alias("quoted"))
-    pdf = chosen.join(quoted, "id", "left").toPandas()
-    xs, ys = [], []
-    for row in pdf.itertuples():
-        blocks, x = _blocks(row)
-        if not blocks:
-            continue
-        lines = row.body.split("\n")
-        seen = set(row.quoted) if isinstance(row.quoted, (list, np.ndarray)) else set()
-        share = np.array([np.mean([lines[k - 1].strip() in seen for k in b]) for b in blocks])
-        y = weak_labels(x, share)
-        xs.append(x[y >= 0])
-        ys.append(y[y >= 0])
-    if not xs or len(np.unique(np.concatenate(ys))) < 2:
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            xs, ys = [], []
+            for row in pdf.itertuples():
+                blocks, x = _blocks(row)
+                if not blocks:
+                    continue
+                lines = row.body.split("\n")
+                seen = set(row.quoted) if isinstance(row.quoted, (list, np.ndarray)) else set()
+                share = np.array([np.mean([lines[k - 1].strip() in seen for k in b]) for b in blocks])
+                y = weak_labels(x, share)
+                xs += list(x[y >= 0])
+                ys += list(y[y >= 0].astype(float))
+            yield pd.DataFrame({"x": pd.Series(xs, dtype=object), "y": pd.Series(ys, dtype="float64")})
+
+    # the blocks are made and labelled by the executors; only numbers come to the driver
+    pdf = chosen.join(quoted, "id", "left").mapInPandas(label, "x array<double>, y double").toPandas()
+    if pdf.empty or pdf["y"].nunique() < 2:
         return BoostedTrees([], 0.0, 0.2)
-    return BoostedTrees.fit(np.concatenate(xs), np.concatenate(ys).astype(float))
+    return BoostedTrees.fit(np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy())
 
 
 def new_lines(spark: SparkSession, rows: DataFrame, sample: int = 3000) -> DataFrame:
