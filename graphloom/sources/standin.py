@@ -104,13 +104,13 @@ _DIRS = _LIST(DIRECTORIES)
 SQL = f"""
 with recursive m0 as (select p_partkey as k, {_MNAME} as name, {_PATH.format(dirs=_DIRS, k='p_size % 10')} as filename, p_size % 10 as f, (p_partkey % 50) * 40 + 1 as ls, p_size, p_brand, p_retailprice from part),
 nodes as (
-  select s_suppkey as id, 'FILE' as label, {_PATH.format(dirs=_DIRS, k='s_suppkey')} as name, null as code, {_PATH.format(dirs=_DIRS, k='s_suppkey')} as filename, null as line_number, null as line_number_end, null as control_structure_type, null as ord, false as is_static, null as signature_size, null as method_id from supplier
+  select s_suppkey as id, 'FILE' as label, {_PATH.format(dirs=_DIRS, k='s_suppkey')} as name, null::varchar as code, {_PATH.format(dirs=_DIRS, k='s_suppkey')} as filename, null::int as line_number, null::int as line_number_end, null::varchar as control_structure_type, null::int as ord, false as is_static, null::int as signature_size, null::bigint as method_id from supplier
   union all select k + {METHOD}, 'METHOD', name, case when k % 4 = 0 then 'static int ' else 'int ' end || name || '(void)', filename, ls, ls + p_size * 3, null, null, k % 4 = 0, p_size % 9, null from m0
   union all select o_orderkey + {CALL}, 'CALL', c.name, c.name || '(v)', o.filename, o_orderkey % 200 + 10, null, null, o_orderkey % 7, false, null, o_custkey + {METHOD} from orders join m0 c on c.k = (o_custkey * 31 + o_orderkey) % 150 join m0 o on o.k = o_custkey
   union all select event_id + {CONTROL}, 'CONTROL_STRUCTURE', null, {_LIST(CONDITIONS)}[event_id % 5 + 1], null, event_id % 200 + 10, event_id % 200 + 10 + event_id % 13, {_CASE('event_type', CONTROLS)}, event_id % 5, false, null, user_id + {METHOD} from events
   union all select c_custkey + {IDENTIFIER}, 'IDENTIFIER', 'v_' || lower(c_mktsegment), 'v_' || lower(c_mktsegment), null, c_custkey % 90 + 10, null, null, c_custkey % 3, false, null, c_custkey + {METHOD} from customer),
 edges as (
-  select p_size % 10 as src, p_partkey + {METHOD} as dst, 'CONTAINS' as label, null as variable from part
+  select p_size % 10 as src, p_partkey + {METHOD} as dst, 'CONTAINS' as label, null::varchar as variable from part
   union all select o_custkey + {METHOD}, o_orderkey + {CALL}, 'CONTAINS', null from orders
   union all select o_orderkey + {CALL}, (o_custkey * 31 + o_orderkey) % 150 + {METHOD}, 'CALL', null from orders
   union all select o_orderkey + {CALL}, o_custkey + {IDENTIFIER}, 'ARGUMENT', null from orders
