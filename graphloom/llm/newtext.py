@@ -239,15 +239,15 @@ def weak_labels(x: np.ndarray, quoted: np.ndarray) -> np.ndarray:
 def _line_frequencies(rows: DataFrame) -> DataFrame:
     """(msg, entries) with entries (line_no, rate, n_sender) of lines that stand in five mails or more."""
     lines = rows.select("msg", "sender", F.posexplode(F.split("body", "\n")).alias("p", "line"))
-    lines = lines.where(F.trim("line") != "").select("msg", "sender", (F.col("p") + 1).alias("line_no"), F.xxhash64(F.trim("line")).alias("h"))
-    by_sender = lines.groupBy("h", "sender").agg(F.count(F.lit(1)).alias("n_sender"))
+    lines = lines.where(F.trim("line") != "").select("msg", (F.col("p") + 1).alias("line_no"), F.xxhash64(F.trim("line")).alias("h"), F.xxhash64(F.trim("line"), "sender").alias("k"))
+    lines = materialize(lines, "lines")
+    by_sender = materialize(lines.groupBy("h", "k").agg(F.count(F.lit(1)).alias("n_sender")), "by-sender")
     total = rows.agg(F.count(F.lit(1)).alias("total")).scalar()
     overall = by_sender.groupBy("h").agg(F.sum("n_sender").alias("n_all")).where("n_all > 4")
     overall = overall.select("h", (F.col("n_all") / total).alias("rate"))
-    repeated = lookup_join(lines, overall, "h")
-    pair = F.xxhash64("h", "sender").alias("k")
-    counts = by_sender.where("n_sender > 1").select(pair, "n_sender").dropDuplicates(["k"])
-    joined = lookup_join(repeated.withColumn("k", pair), counts, "k", "left")
+    repeated = materialize(lookup_join(lines, materialize(overall, "frequent"), "h"), "repeated")
+    counts = by_sender.where("n_sender > 1").select("k", "n_sender").dropDuplicates(["k"])
+    joined = lookup_join(repeated, counts, "k", "left")
     return joined.groupBy("msg").agg(F.collect_list(F.struct("line_no", "rate", F.coalesce("n_sender", F.lit(1)).alias("n_sender"))).alias("entries"))
 
 
@@ -265,14 +265,23 @@ def prepared(rows: DataFrame, ancestors: int = 3) -> DataFrame:
     ).where("msg is not null and body is not null")
     base = materialize(base.dropDuplicates(["msg"]), "bodies")
     by_id = base.where("id is not null").groupBy("id").agg(F.min_by(F.struct("up", "body", "at"), "msg").alias("m"))
-    by_id = materialize(by_id.select(F.col("id").alias("up"), F.col("m.up").alias("_up"), F.col("m.body").alias("_body"), F.col("m.at").alias("_at")), "by_id")
-    df = base.withColumn("old", F.array().cast("array<string>"))
-    # parents may go in a circle: what was sent later is no ancestor, nor is the message itself
-    earlier = F.col("_body").isNotNull() & ~F.coalesce(F.col("_at") >= F.col("at"), F.lit(False)) & ~F.col("_id").eqNullSafe(F.col("id"))
-    for _ in range(ancestors):
-        df = lookup_join(df, by_id, "up", "left").withColumn("_id", F.col("up"))
-        df = df.withColumn("old", F.when(earlier, F.array_append("old", F.col("_body"))).otherwise(F.col("old"))).withColumn("up", F.col("_up")).drop("_up", "_body", "_at", "_id")
-    df = df.join(_line_frequencies(base.select("msg", "sender", "body")), "msg", "left")
+    by_id = materialize(by_id.select("id", "m.up", "m.at", "m.body"), "by-id")
+    # first only identifiers climb, level by level; then the bodies are fetched once. Parents may go in
+    # a circle: what was sent later is no ancestor, nor is the message itself
+    step = by_id.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("at").alias("_at"))
+    front, levels = base.where("up is not null").select("msg", "id", "at", "up"), []
+    for level in range(ancestors):
+        front = materialize(lookup_join(front, step, "up"), "ancestors")
+        earlier = ~F.coalesce(F.col("_at") >= F.col("at"), F.lit(False)) & ~F.col("up").eqNullSafe(F.col("id"))
+        levels.append(front.where(earlier).select("msg", F.lit(level).alias("level"), F.col("up").alias("id")))
+        front = front.where("_up is not null").select("msg", "id", "at", F.col("_up").alias("up"))
+    found = levels[0]
+    for more in levels[1:]:
+        found = found.unionByName(more)
+    found = lookup_join(materialize(found, "ancestor-ids"), by_id.select("id", "body"), "id")
+    old = found.groupBy("msg").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "body"))), lambda x: x["body"]).alias("old"))
+    lines = _line_frequencies(base.select("msg", "sender", "body"))
+    df = base.join(old, "msg", "left").join(lines, "msg", "left")
     return df.select("msg", "id", "sender_field", "body", "old", "entries")
 
 

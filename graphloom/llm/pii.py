@@ -259,8 +259,8 @@ def _score_names(cand: DataFrame, mail: DataFrame, known: DataFrame, rounds: int
     tagged = names.withColumn("row", F.monotonically_increasing_id())
     tagged = materialize(tagged, "tagged")
     exploded = tagged.select("row", F.posexplode("parts").alias("pos", "part"))
-    marks = lookup_join(lookup_join(exploded, lexicon, "part", "left"), listed, "part", "left")
-    marks = lookup_join(marks, ordinary.withColumn("plain", F.lit(True)), "part", "left")
+    known_parts = lexicon.join(listed, "part", "full").join(ordinary.withColumn("plain", F.lit(True)), "part", "full")
+    marks = lookup_join(exploded, materialize(known_parts, "known-parts"), "part", "left")
     marks = marks.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("listed", F.lit(False)).alias("listed"), F.coalesce("given", F.lit(False)).alias("given"), F.coalesce("plain", F.lit(False)).alias("plain")))).alias("marks"))
     judged = lookup_join(tagged, patterns, "pattern", "left").join(marks, "row", "left")
 
