@@ -563,7 +563,7 @@ def pat_complexity(spark: SparkSession, d: str) -> DataFrame:
     return of(g, "METHOD").select("id").join(per, "id", "left").select("id", F.when(n < 5, "simple").when(n < 20, "moderate").otherwise("complex").alias("level"))
 
 
-@query("select a.id as source, b.id as target, e.variable, 'REASSIGNMENT' as kind from edges e join nodes a on a.id = e.src join nodes b on b.id = e.dst where e.label = 'REACHING_DEF'")
+@query("select e.src as source, e.dst as target, e.variable, 'REASSIGNMENT' as kind from edges e where e.label = 'REACHING_DEF'")
 def pat_var_chain(spark: SparkSession, d: str) -> DataFrame:
     return graph(spark, d).edges.where("label = 'REACHING_DEF'").select(F.col("src").alias("source"), F.col("dst").alias("target"), "variable", F.lit("REASSIGNMENT").alias("kind"))
 
