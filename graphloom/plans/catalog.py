@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from graphloom.plans import code_graph, delivery, traversals
+from graphloom.plans import code_graph, corpus, delivery, traversals
 
-_MODULES = (delivery, traversals, code_graph)
+_MODULES = (delivery, traversals, code_graph, corpus)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
