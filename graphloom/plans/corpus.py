@@ -49,8 +49,7 @@ def fn_tokenize(spark: SparkSession, d: str) -> DataFrame:
 def fn_normalise(spark: SparkSession, d: str) -> DataFrame:
     @F.pandas_udf("string")
     def fold(s: pd.Series) -> pd.Series:
-        # what has no decomposition keeps its letter but for the two strokes DuckDB folds too
-        return s.map(lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).lower().replace("ø", "o").replace("đ", "d"))
+        return s.map(lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).lower())
 
     return table(spark, d, "known_name").select("name_part", fold("name_part").alias("folded"))
 
