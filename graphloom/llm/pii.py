@@ -139,7 +139,7 @@ def candidates_of(text: str, field: str) -> list[tuple]:
                     a, piece = a + 1, piece[1:-1]
                 if piece.startswith("(") and ")" not in piece:
                     a, piece = a + 1, piece[1:]
-                if piece.endswith(")") and "(" not in piece:
+                while piece.endswith(")") and piece.count(")") > piece.count("("):
                     piece = piece[:-1]
                 if sum(c.isdigit() for c in piece) < 6:
                     continue
@@ -208,10 +208,12 @@ def _score_numbers(cand: DataFrame, rounds: int) -> DataFrame:
     patterns = None
     for _ in range(rounds):
         # patterns by their instances (shapes), instances by their patterns; seeds stay what they are
+        # (a pattern without a seed of its own needs three different shapes to be believed)
+        seeded = lambda c: (F.countDistinct("form") >= 3) | (F.max(c) >= 1)
+        share = lambda c: F.sum(F.col(c) * F.col("m")) / (F.sum("m") + 1)
         patterns = score.groupBy("pattern").agg(
-            F.sum("m").alias("support"), F.countDistinct("form").alias("kinds"),
-            (F.sum(F.col("sid") * F.col("m")) / (F.sum("m") + 1)).alias("pid"), (F.sum(F.col("sph") * F.col("m")) / (F.sum("m") + 1)).alias("pph"),
-        )
+            F.sum("m").alias("support"), F.when(seeded("sid"), share("sid")).otherwise(0.0).alias("pid"), F.when(seeded("sph"), share("sph")).otherwise(0.0).alias("pph")
+        )
         patterns = materialize(patterns, "number-patterns")
         joined = edges.join(patterns, "pattern")
         forms = joined.groupBy("form").agg((F.sum(F.col("pid") * F.col("m")) / F.sum("m")).alias("fid"), (F.sum(F.col("pph") * F.col("m")) / F.sum("m")).alias("fph"))
