@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from graphloom.plans import code_graph, corpus, delivery, retrieval, traversals
+from graphloom.plans import code_graph, corpus, delivery, retrieval, shells, traversals
 
-_MODULES = (delivery, traversals, code_graph, corpus, retrieval)
+_MODULES = (delivery, traversals, code_graph, corpus, retrieval, shells)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
