@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.session import materialize
 from graphloom.sources.standin import Graph
 
 LABELS = {
@@ -416,7 +417,10 @@ class Traverser:
         for level in range(depth):
             frontier = self.apply(frontier, body.steps).dropDuplicates(["id"])
             if not times:
-                frontier = frontier.join(seen, "id", "left_anti")
+                # written each level: the frontier is read several times below
+                frontier = materialize(frontier.join(seen, "id", "left_anti"), "frontier")
+                if level and not frontier.take(1):
+                    break
                 seen = seen.unionByName(frontier.select("id"))
             if emit is not None:
                 kept = frontier if emit is True else self.where(frontier, emit, False)
@@ -431,10 +435,14 @@ class Traverser:
 
     def closure(self, df: DataFrame, edge: str, forward: bool, include: bool) -> DataFrame:
         hop = self.out if forward else self.back
-        frontier, out = df.dropDuplicates(["id"]), df if include else None
+        frontier = materialize(df.dropDuplicates(["id"]), "frontier")
+        out, seen = frontier if include else frontier.limit(0), frontier.select("id")
         for _ in range(self.max_depth):
-            frontier = hop(frontier, edge).dropDuplicates(["id"])
-            out = frontier if out is None else out.unionByName(frontier)
+            reached = hop(frontier, edge).dropDuplicates(["id"])
+            frontier = materialize(reached.join(seen, "id", "left_anti") if include else reached, "frontier")
+            if not frontier.take(1):
+                break
+            out, seen = out.unionByName(frontier), seen.unionByName(frontier.select("id"))
         return out.dropDuplicates(["id"])
 
     def flows(self, sources: DataFrame, sinks: DataFrame) -> DataFrame:
@@ -444,6 +452,9 @@ class Traverser:
         every = walk
         for _ in range(self.max_depth):
             walk = walk.join(e, (walk["dst"] == F.col("_s")) & ~F.array_contains("path", F.col("_d"))).select("src", F.col("_d").alias("dst"), F.array_append("path", F.col("_d")).alias("path"))
+            walk = materialize(walk, "paths")
+            if not walk.take(1):
+                break
             every = every.unionByName(walk)
         return every.where(F.size("path") > 1).join(sinks.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi")
 
