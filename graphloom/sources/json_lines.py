@@ -14,7 +14,9 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType, strict
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     bad = "_malformed"
     marked = T.StructType([*schema.fields, T.StructField(bad, T.StringType())])
-    rows = spark.read.schema(marked).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).json(path)
+    # parsed from text: the file reader refuses plans that need the malformed column alone
+    parsed = F.from_json("value", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad})
+    rows = spark.read.text(path).where(F.trim("value") != "").select(parsed.alias("r")).select("r.*")
     return rows.where(F.col(bad).isNull()).drop(bad)
 
 
