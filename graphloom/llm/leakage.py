@@ -2,10 +2,11 @@
 
 Passages of a few words are TF-IDF vectors over the words of the held-out texts (any other word is
 one further axis). A randomised singular value decomposition, computed by two passes over all
-passages of the corpus, gives a latent space. Passages of the corpus look up the held-out passages
-near them by hyperplane codes and keep those whose cosine is high enough. Equal passages have equal
-vectors, hence equal codes, so no verbatim passage is missed; runs of common words are then measured
-exactly, paraphrases by their longest common subsequence and the rare words of the answer.
+passages of the corpus, gives a latent space. For common runs, passages of the corpus look up the held-out passages
+near them by hyperplane codes and keep those whose cosine is high enough; equal passages have equal
+vectors, hence equal codes, so no verbatim passage is missed, and the runs are then measured exactly.
+For paraphrases they are compared with all held-out passages, by blocked matrix products; these are
+measured by their longest common subsequence and the rare words of the answer.
 
 Passages of eight words are taken every five words from the corpus and everywhere from the held-out
 texts: whatever run of twelve common words there is, it holds a whole passage of both.
@@ -27,6 +28,8 @@ from graphloom.session import materialize
 WINDOW, STRIDE = 8, 5
 #: Words of held-out text handled at a time: bounds what is broadcast; larger sets go in blocks.
 BLOCK_WORDS = 200_000
+#: Cosines computed at a time where passages are compared with all held-out ones (32 MB).
+BLOCK_COSINES = 4_000_000
 
 
 def _passage_sums(ids: np.ndarray, starts: np.ndarray, table: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -66,11 +69,26 @@ class HeldOut:
         weights = 1 << np.arange(self.bits)
         return [side[:, t * self.bits : (t + 1) * self.bits] @ weights for t in range(self.tables)]
 
-    def near(self, ids: np.ndarray, starts: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the corpus passage, index of the held-out passage) of pairs with such a cosine."""
+    def latent(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Vectors of passages, of length 1."""
         v = _passage_sums(ids, starts, self.table)
-        norm = np.linalg.norm(v, axis=1)
-        v /= np.maximum(norm, 1e-12)[:, None]
+        v /= np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
+        return v
+
+    def all_near(self, ids: np.ndarray, starts: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+        """As ``near``, but of all pairs with such a cosine: none is left out."""
+        left, right = [np.empty(0, int)], [np.empty(0, int)]
+        step = max(1, BLOCK_COSINES // max(1, len(self.vectors)))
+        for a in range(0, len(starts), step):
+            i, j = np.nonzero(self.latent(ids, starts[a : a + step]) @ self.vectors.T >= cosine)
+            left.append(i + a)
+            right.append(j)
+        return np.concatenate(left), np.concatenate(right)
+
+    def near(self, ids: np.ndarray, starts: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the corpus passage, index of the held-out passage) of pairs with such a cosine
+        that also share a code; equal passages always do."""
+        v = self.latent(ids, starts)
         found = []
         for t, code in enumerate(self.code(v)):
             lo, hi = np.searchsorted(self.codes[t], code, "left"), np.searchsorted(self.codes[t], code, "right")
@@ -200,11 +218,10 @@ def _prepare(spark: SparkSession, documents: DataFrame, items: pd.DataFrame, ran
     starts = _starts(lengths, 1)
     space = latent_space(spark, encoded, own, _starts(lengths, WINDOW), idf, rank, seed)
     table = idf[:, None] * space
-    v = _passage_sums(own, starts, table)
-    v /= np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
     planes = np.random.default_rng(seed + 1).standard_normal((space.shape[1], tables * bits))
-    held = HeldOut(vocabulary, own, np.repeat(np.arange(len(texts)), lengths), starts, table, v, planes, [], [], tables, bits)
-    for code in held.code(v):
+    held = HeldOut(vocabulary, own, np.repeat(np.arange(len(texts)), lengths), starts, table, np.empty(0), planes, [], [], tables, bits)
+    held.vectors = held.latent(own, starts)
+    for code in held.code(held.vectors):
         order = np.argsort(code, kind="stable")
         held.order.append(order)
         held.codes.append(code[order])
@@ -277,15 +294,15 @@ def leaked_items(spark: SparkSession, documents: DataFrame, items: DataFrame, le
     return out.distinct()
 
 
-def paraphrased_items(spark: SparkSession, documents: DataFrame, items: DataFrame, cosine: float = 0.75, share: float = 0.75, rank: int = 48, tables: int = 8, bits: int = 8, seed: int = 5) -> DataFrame:
+def paraphrased_items(spark: SparkSession, documents: DataFrame, items: DataFrame, cosine: float = 0.75, share: float = 0.75, rank: int = 48, seed: int = 5) -> DataFrame:
     """(doc_id, item_id, lcs_share): documents with a passage that says what an item's does in other
     words: at a high latent cosine the longest common subsequence of the 24 words around both
     reaches ``share``, and the three rarest words of the item's passage - its answer - all occur.
-    Candidates come from hyperplane codes, so of passages below cosine 1 some may be missed."""
+    Every passage taken from a document is compared with all held-out passages."""
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc"), "text").where("doc is not null and text is not null")
     out = spark.createDataFrame([], "doc_id bigint, item_id bigint, lcs_share double")
     for block in _items_in_blocks(items):
-        prepared = _prepare(spark, docs, block, rank, tables, bits, seed)
+        prepared = _prepare(spark, docs, block, rank, 0, 0, seed)
         if prepared is None:
             continue
         held, encoded = prepared
@@ -294,17 +311,17 @@ def paraphrased_items(spark: SparkSession, documents: DataFrame, items: DataFram
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held, names, weight = shared.value
+            edges = np.searchsorted(held.item, np.arange(len(names) + 1))
             for pdf in batches:
                 for key, raw in zip(pdf["doc"], pdf["ids"]):
                     ids = np.frombuffer(raw, "int32")
                     starts = _starts(np.array([len(ids)]), STRIDE)
-                    i, j = held.near(ids, starts, cosine)
+                    i, j = held.all_near(ids, starts, cosine)
                     best: dict[int, float] = {}
                     for p, q in zip(starts[i], held.starts[j]):
                         item = held.item[q]
                         x = ids[max(0, p - 8) : p + 16]
-                        inside = np.flatnonzero(held.item == item)
-                        y = held.ids[max(inside[0], q - 8) : min(inside[-1] + 1, q + 16)]
+                        y = held.ids[max(edges[item], q - 8) : min(edges[item + 1], q + 16)]
                         core = held.ids[q : q + WINDOW]
                         if not np.isin(core[np.argsort(-weight[core])[:3]], x).all():
                             continue

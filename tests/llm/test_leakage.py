@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+
+from graphloom.llm import leakage
 from graphloom.llm.leakage import leaked_items, paraphrased_items
 from graphloom.llm.words import words_of
 
@@ -37,6 +40,62 @@ def test_paraphrase(spark):
     assert [r["doc_id"] for r in paraphrased_items(spark, d, i, cosine=0.5, share=0.6).collect()] == [1]
 
 
+def test_all_passages_above_the_cosine_are_candidates(spark, monkeypatch):
+    """At the values of the query, against the cosine of every pair of passages one by one."""
+    rng = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=30))) for i in range(20)]
+    docs = []
+    for k in range(120):
+        w = rng.choice(items)[1].split()
+        for _ in range(rng.randint(3, 9)):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        docs.append((k, " ".join(w)))
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    i = spark.createDataFrame(items, "item_id bigint, text string")
+    prepared = []
+    original = leakage._prepare
+    monkeypatch.setattr(leakage, "_prepare", lambda *a: prepared.append(original(*a)) or prepared[-1])
+    got = {(r["doc_id"], r["item_id"]): r["lcs_share"] for r in paraphrased_items(spark, d, i).collect()}
+    [(held, encoded)] = prepared
+    order = [r["item_id"] for r in leakage._items_in_blocks(i)[0].to_dict("records")]
+    weight, want, low = np.linalg.norm(held.table, axis=1), {}, 0
+
+    def vector(ids):
+        v = held.table[ids].sum(axis=0)
+        return v / np.linalg.norm(v)
+
+    for row in encoded.collect():
+        ids = np.frombuffer(row["ids"], "int32")
+        for p in range(0, len(ids) - 7, 5):
+            u = vector(ids[p : p + 8])
+            for q in held.starts:
+                c = u @ vector(held.ids[q : q + 8])
+                if c < 0.75:
+                    continue
+                low += c < 0.9
+                mine = np.flatnonzero(held.item == held.item[q])
+                x, y = ids[max(0, p - 8) : p + 16], held.ids[max(mine[0], q - 8) : min(mine[-1] + 1, q + 16)]
+                core = held.ids[q : q + 8]
+                if not set(core[np.argsort(-weight[core])[:3]]) <= set(x):
+                    continue
+                best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+                for a in range(len(x)):
+                    for b in range(len(y)):
+                        best[a + 1][b + 1] = best[a][b] + 1 if x[a] == y[b] else max(best[a][b + 1], best[a + 1][b])
+                key = (row["doc"], order[held.item[q]])
+                want[key] = max(want.get(key, 0.0), best[-1][-1] / len(y))
+    assert low > 100 and got == {k: v for k, v in want.items() if v >= 0.75} and got
+
+
+def test_long_document_is_compared_in_blocks(spark, monkeypatch):
+    item = "why does the planner keep a frozen cursor open after the checkpoint of relation zebra has ended"
+    d = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(600)) + " " + item)], "doc_id bigint, text string")
+    i = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    monkeypatch.setattr(leakage, "BLOCK_COSINES", 50)
+    assert [r["doc_id"] for r in paraphrased_items(spark, d, i).collect()] == [1]
+
+
 def test_empty(spark):
     d, i = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string")
     assert leaked_items(spark, d, i).count() == 0
