@@ -1,8 +1,8 @@
 """Broken prompt and response pairs.
 
 Responses are sorted by text over the whole table, so every shortened version stands directly before
-a longer one that begins with it; a length at which far more unfinished responses end than around it
-is a length limit. With these two signs the rules for empty, copied, refused, foreign-language and
+a longer one that begins with it, wherever it was cut; a length at which far more responses end than
+around it is a length limit. With these two signs the rules for empty, copied, refused, foreign-language and
 truncated responses name at most one defect for a pair.
 """
 
@@ -149,13 +149,23 @@ def is_unfinished(answer: str | None) -> bool:
     return False
 
 
+def without_remarks(answer: str | None) -> str:
+    """The answer without the polite remarks and white space at its end."""
+    a = (answer or "").rstrip()
+    while breaks := list(re.finditer(r"(?<=[.!?])\s+|\n+", a)):
+        if not _REMARK.search(a[breaks[-1].end() :].strip(" \t\n.!?;:\"'*-")):
+            break
+        a = a[: breaks[-1].start()].rstrip()
+    return a
+
+
 def shortened(answers: DataFrame) -> DataFrame:
-    """Distinct answers that are a proper beginning of another one, with the text that follows.
+    """Distinct answers that are a proper beginning of another one.
 
     The texts are range-partitioned and sorted; if any text begins with x, the next one does. Only
     the first text of each partition (at most one a partition) is passed on to the partition before.
     """
-    distinct = answers.select("answer").where("length(answer) >= 40").distinct()
+    distinct = answers.select("answer").distinct()
     ranged = materialize(distinct.repartitionByRange("answer").sortWithinPartitions("answer").withColumn("part", F.spark_partition_id()), "sorted")
     firsts = ranged.groupBy("part").agg(F.min("answer").alias("first"))
     from pyspark.sql import Window
@@ -164,11 +174,11 @@ def shortened(answers: DataFrame) -> DataFrame:
     within = Window.partitionBy("part").orderBy("answer")
     with_next = ranged.withColumn("next", F.lead("answer").over(within)).join(following, F.col("part") == F.col("p"), "left")
     with_next = with_next.withColumn("next", F.coalesce("next", "edge"))
-    return with_next.where(F.expr("next is not null and startswith(next, answer)")).select("answer", F.expr("substring(next, length(answer) + 1, 40)").alias("goes_on"))
+    return with_next.where(F.expr("next is not null and startswith(next, answer)")).select("answer")
 
 
 def length_spikes(lengths: DataFrame, factor: float = 8.0, least: int = 20) -> DataFrame:
-    """Lengths at which at least ``least`` unfinished answers end, ``factor`` times the average of
+    """Lengths at which at least ``least`` of the given answers end, ``factor`` times the average of
     the twenty lengths around."""
     from pyspark.sql import Window
 
@@ -188,29 +198,40 @@ def defective_pairs(pairs: DataFrame) -> DataFrame:
     however long.
     """
 
-    @F.pandas_udf("string")
-    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("found string, bare string, plain boolean")
+    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for qs, answers in batches:
             out = []
             for q, a in zip(qs, answers):
                 if is_empty(a):
-                    out.append("empty")
+                    found = "empty"
                 elif is_copy(q, a):
-                    out.append("copy")
+                    found = "copy"
                 elif is_refusal(a):
-                    out.append("refusal")
+                    found = "refusal"
                 else:
                     lq, la = language_of(q), language_of(a)
-                    out.append("other_language" if lq and la and lq != la else "unfinished" if is_unfinished(a) else "")
-            yield pd.Series(out)
+                    found = "other_language" if lq and la and lq != la else "unfinished" if is_unfinished(a) else ""
+                bare = without_remarks(a)
+                out.append((found, bare, bare == (a or "").rstrip()))
+            yield pd.DataFrame(out, columns=["found", "bare", "plain"])
 
     judged = materialize(
-        pairs.select("ragas_key", "question", "answer").dropDuplicates(["ragas_key"]).withColumn("found", judge("question", "answer")), "judged"
+        pairs.select("ragas_key", "question", "answer").dropDuplicates(["ragas_key"]).withColumn("j", judge("question", "answer")).select("ragas_key", "question", "answer", "j.*"), "judged"
     )
     rest = judged.where(F.col("found").isin("", "unfinished") & F.col("answer").isNotNull())
-    cut = shortened(rest).where(~F.substring("goes_on", 1, 1).rlike(r"[\s]")).select("answer").withColumn("shorter", F.lit(True))
-    spikes = length_spikes(rest.where("found = 'unfinished'").select(F.length("answer").alias("n")))
-    at_limit = rest.join(spikes, F.length("answer") == F.col("n"), "left_semi").where(~F.rtrim(F.col("answer")).rlike(r"[.!?;)\]`\"*]$")).select("answer").distinct().withColumn("limit", F.lit(True))
-    signs = cut.join(at_limit, "answer", "full")
-    named = F.when(F.col("found") == "unfinished", "truncated").when((F.col("found") == "") & (F.col("shorter") | F.col("limit")), "truncated").when(F.col("found") != "", F.col("found"))
-    return judged.join(signs, "answer", "left").select(F.col("ragas_key").cast("bigint").alias("ragas_key"), named.alias("defect")).where("defect is not null")
+    # a short sentence may answer one question in whole and only begin the answer of another, so below
+    # 40 characters the longer version must belong to the same question
+    alone = F.when(F.length("bare") >= 40, F.concat(F.lit("a\0"), "bare"))
+    asked = F.concat(F.lit("q\0"), "question", F.lit("\0"), "bare")
+    keys = rest.select("ragas_key", "plain", F.explode(F.array_compact(F.array(alone, asked))).alias("answer"))
+    cut = keys.where("plain").join(shortened(keys), "answer", "left_semi").select("ragas_key")
+    # equal answers count once, so that a stock answer is no limit
+    ends = rest.select("answer", "found", F.length("answer").alias("n")).distinct()
+    closed = F.col("answer").rlike(r"(?:[.!?;。！？][*_\"'”“»`)\]]*|```)\s*$")
+    at_limit = rest.withColumn("n", F.length("answer"))
+    by_mark = at_limit.where(~closed).join(length_spikes(ends.select("n")), "n", "left_semi").select("ragas_key")
+    closed_too = at_limit.where("found = ''").join(length_spikes(ends.where("found = ''").select("n")), "n", "left_semi").select("ragas_key")
+    signs = cut.unionByName(by_mark).unionByName(closed_too).distinct().withColumn("sign", F.lit(True))
+    named = F.when(F.col("found") == "unfinished", "truncated").when((F.col("found") == "") & F.col("sign"), "truncated").when(F.col("found") != "", F.col("found"))
+    return judged.join(signs, "ragas_key", "left").select(F.col("ragas_key").cast("bigint").alias("ragas_key"), named.alias("defect")).where("defect is not null")

@@ -41,3 +41,25 @@ def test_table(spark):
     got = [tuple(r) for r in defective_pairs(df).collect()]
     assert sorted(got) == [(1, "empty"), (3, "copy"), (4, "refusal"), (5, "other_language"), (6, "truncated")]
     assert defective_pairs(df.limit(0)).count() == 0
+
+
+def test_cut_where_a_sentence_ends(spark):
+    other = "Which lock is taken when the buffer is written to disk by the background process?"
+    rows = [
+        (1, Q, GOOD), (2, other, GOOD + " Then it is emptied page by page."), (3, Q, GOOD + " Let me know if there is more."), (4, Q, GOOD + "  \n"),
+        (5, Q, "It depends."), (6, Q, "It depends. The cache is filled first and freed at the end."), (7, other, "It is none."), (8, Q, "It is none. The cache is freed at the end."),
+        (9, Q, "The lock is held until the transaction ends."), (10, other, "The lock is held until the transaction ends. I hope this helps."),
+    ]
+    df = spark.createDataFrame(rows, "ragas_key bigint, question string, answer string")
+    assert sorted(tuple(r) for r in defective_pairs(df).collect()) == [(1, "truncated"), (4, "truncated"), (5, "truncated")]
+
+
+def test_length_limit_whatever_the_last_mark(spark):
+    def sentence(k, n, mark):
+        return (f"The planner keeps cache {k} of pages and it is filled when the first query of the session runs " + "and so on " * 20)[: n - len(mark)].rstrip().ljust(n - len(mark), "x") + mark
+
+    at_limit = [(k, Q, sentence(k, 150, ".")) for k in range(30)]
+    around = [(100 + k, Q, sentence(k, 130 + k, ".")) for k in range(41) if k != 20]
+    stock = [(200 + k, Q, sentence(999, 220, ".")) for k in range(30)]
+    df = spark.createDataFrame(at_limit + around + stock, "ragas_key bigint, question string, answer string")
+    assert sorted(tuple(r) for r in defective_pairs(df).collect()) == [(k, "truncated") for k in range(30)]
