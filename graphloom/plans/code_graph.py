@@ -519,7 +519,7 @@ def enrich_semantic(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select tag_name, tag_value, count(*) as n, count(distinct node_label) as kinds from tags group by 1, 2 having count(*) > 20")
 def export_tags(spark: SparkSession, d: str) -> DataFrame:
-    return graph(spark, d).tags.groupBy("tag_name", "tag_value").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("node_label").alias("kinds")).where("n > 20")
+    return graph(spark, d).tags.groupBy("tag_name", "tag_value").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("node_label").alias("kinds"))
 
 
 @query("select id, label, coalesce(name, code, '') as name, coalesce(filename, '') as filename, coalesce(line_number, -1) as line from nodes")

@@ -324,7 +324,7 @@ def win_topn_of_array(spark: SparkSession, d: str) -> DataFrame:
 @query("select url, count(*) as n from (select regexp_replace(url, '[?#].*$', '') as url from mail_raw where url like 'http%') group by 1 having count(*) > 1")
 def scan_html_links(spark: SparkSession, d: str) -> DataFrame:
     links = table(spark, d, "mail_raw").where("url like 'http%'").select(F.regexp_replace("url", r"[?#].*$", "").alias("url"))
-    return links.groupBy("url").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return links.groupBy("url").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select strftime(m, '%Y-%m') as month from (select unnest(generate_series(date '2021-01-01', date '2024-12-01', interval 1 month)) as m)")
