@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -150,10 +152,16 @@ def validate_workflow(spark: SparkSession, d: str) -> DataFrame:
     return g.select("ragas_key", T.query_issues(F.col("g")).alias("issues"))
 
 
+# What the reference's validator rejects (rag_cpgql/src/execution/query_validator.py).
+_DANGEROUS = ["system", "exec", "runtime", "import", "os.", "subprocess", "file.write", "file.delete", "process.", "__import__", "eval", "compile"]
+
+
 @query("select ragas_key, ground_truth is not null and starts_with(ground_truth, 'cpg') and not regexp_matches(ground_truth, 'exec|import|system|delete|drop') as safe from ragas_dataset")
 def validate_safe(spark: SparkSession, d: str) -> DataFrame:
-    g = F.col("ground_truth")
-    return table(spark, d, "ragas_dataset").select("ragas_key", F.coalesce(g.startswith("cpg") & ~g.rlike("exec|import|system|delete|drop"), F.lit(False)).alias("safe"))
+    """Begins with the graph's name and holds none of the reference's patterns, in whatever case."""
+    g = F.lower("ground_truth")
+    dangerous = reduce(or_, (g.contains(p) for p in _DANGEROUS))
+    return table(spark, d, "ragas_dataset").select("ragas_key", F.coalesce(g.rlike(r"(?U)^[\s\x1c-\x1f]*cpg") & ~dangerous, F.lit(False)).alias("safe"))
 
 
 _INTENTS = [("explain-concept", ["what role", "explain"]), ("trace-flow", ["what happens", "in what order"]), ("find-location", ["where in", "which part"]), ("check-condition", ["under which", "can the"])]
