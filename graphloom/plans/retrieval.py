@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -154,10 +155,31 @@ def agg_tag_effectiveness(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select event_id, coalesce(epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id, event_type order by ts, event_id)) <= 3600 * 24 * 1000000::bigint, false) as hit from events")
 def cache_lru(spark: SparkSession, d: str) -> DataFrame:
-    """A trace of look-ups by (user, type) against a cache that keeps an entry for a day."""
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    return events(spark, d).select("event_id", F.coalesce(micros - F.lag(micros).over(w) <= 3600 * 24 * 1_000_000, F.lit(False)).alias("hit"))
+    """A trace of look-ups by (user, type) against a cache that keeps an entry for a day from the look-up
+    that set it: a miss sets it anew, a hit does not prolong it. One pass over sorted partitions; between
+    batches only the last key and the time of its set are carried."""
+    ttl = 3600 * 24 * 1_000_000
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, since = None, None
+        for pdf in batches:
+            hits = []
+            for user, kind, at in zip(pdf["user_id"].tolist(), pdf["event_type"].tolist(), pdf["at"].tolist()):
+                key = (None if user != user else user, kind)
+                if key != last:
+                    last, since = key, None
+                if at != at:
+                    hits.append(False)
+                    continue
+                hit = since is not None and at - since <= ttl
+                if not hit:
+                    since = at
+                hits.append(hit)
+            yield pd.DataFrame({"event_id": pdf["event_id"], "hit": pd.Series(hits, dtype=bool)})
+
+    trace = events(spark, d).select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    ordered = trace.repartition("user_id", "event_type").sortWithinPartitions("user_id", "event_type", "at", "event_id")
+    return ordered.mapInPandas(replay, "event_id bigint, hit boolean")
 
 
 @query("select event_type, round(avg(hit::int), 6) as hit_rate, count(*) as lookups from (select event_type, coalesce(epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id, event_type order by ts, event_id)) <= 3600 * 24 * 1000000::bigint, false) as hit from events) group by 1")
