@@ -215,13 +215,22 @@ def chunk_sliding(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def chunk_semantic(spark: SparkSession, d: str) -> DataFrame:
-    """Paragraphs packed greedily to 1000 characters: a fold over the paragraphs inside one row."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-    join = lambda a, b: F.when(a == "", b).otherwise(F.concat(a, F.lit("\n\n"), b))
+    """Paragraphs packed greedily to 1000 estimated tokens: a fold over pieces inside one row. A longer
+    paragraph closes the open chunk and is packed by sentences, the last of its chunks going on with the
+    next paragraph; only a single sentence above the limit makes a longer chunk. A text without
+    paragraphs is one chunk."""
+    tokens, limit = T.estimate_tokens, 1000
+    piece = lambda text, sep, fresh: F.struct(text.alias("text"), F.lit(sep).alias("sep"), fresh.alias("fresh"))
+    paragraphs = F.filter(F.transform(T.split_paragraphs(F.col("text")), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    pieces = F.flatten(
+        F.transform(paragraphs, lambda p: F.when(tokens(p) > limit, F.transform(T.split_sentences(p), lambda s, k: piece(s, " ", k == 0))).otherwise(F.array(piece(p, "\n\n", F.lit(False)))))
+    )
+    state = lambda done, open_, sep: F.struct(done.alias("done"), open_.alias("open"), sep.alias("sep"))
+    join = lambda acc, p: F.concat(acc["open"], acc["sep"], p["text"])
     fold = F.aggregate(
-        F.filter(T.split_paragraphs(F.col("text")), lambda p: F.trim(p) != ""), start,
-        lambda acc, p: F.when((acc["open"] != "") & (F.length(acc["open"]) + F.length(p) + 2 > 1000), F.struct(F.array_append(acc["done"], acc["open"]).alias("done"), p.alias("open"))).otherwise(F.struct(acc["done"].alias("done"), join(acc["open"], p).alias("open"))),
-        lambda acc: F.when(acc["open"] != "", F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]),
+        pieces, state(F.array().cast("array<string>"), F.lit(""), F.lit("")),
+        lambda acc, p: F.when((acc["open"] != "") & (p["fresh"] | (tokens(join(acc, p)) > limit)), state(F.array_append(acc["done"], acc["open"]), p["text"], p["sep"])).otherwise(state(acc["done"], join(acc, p), p["sep"])),
+        lambda acc: F.when(acc["open"] != "", F.array_append(acc["done"], acc["open"])).otherwise(F.array(F.col("text"))),
     )
     return docs(spark, d).select("doc_id", F.posexplode(fold).alias("chunk_no", "chunk")).select("doc_id", "chunk_no", F.length("chunk").alias("chars"))
 
