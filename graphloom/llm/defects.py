@@ -92,10 +92,10 @@ def sentences(text: str) -> list[str]:
 
 def is_refusal(answer: str | None) -> bool:
     """All sentences decline, apologise or say goodbye, and one at least declines."""
-    if not answer or len(answer) > 1200:
+    if not answer:
         return False
     parts = sentences(answer)
-    declines = [bool(_REFUSAL.search(s)) and len(s) < 240 for s in parts]
+    declines = [bool(_REFUSAL.search(s)) for s in parts]
     return any(declines) and all(d or _REMARK.search(s) for d, s in zip(declines, parts))
 
 

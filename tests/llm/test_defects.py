@@ -16,6 +16,11 @@ def test_refusal(a):
     assert is_refusal(a)
 
 
+@pytest.mark.parametrize("a", ["I cannot say why " + "the planner and " * 30 + "the cache do so.", "I don't know. " * 100])
+def test_refusal_of_any_length(a):
+    assert is_refusal(a)
+
+
 @pytest.mark.parametrize("a", [GOOD, "I don't know of a setting for it, yet the code is clear. " + GOOD, "You cannot do this directly, but there is a way. " + GOOD, "Sorry for the long answer. " + GOOD, "", None])
 def test_no_refusal(a):
     assert not is_refusal(a)
