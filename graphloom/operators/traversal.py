@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -404,7 +405,7 @@ class Traverser:
         groups = [a for g in step.args[1:] for a in g]
         for a in groups:
             modifiers = modifiers + (a.steps if isinstance(a, Chain) else [])
-        depth, emit, until = self.max_depth, None, None
+        depth, emit, until = None, None, None
         for m in modifiers:
             if m.name in ("times", "maxDepth"):
                 depth = int(m.args[0][0])
@@ -414,7 +415,10 @@ class Traverser:
                 until = m.args[0][0]
         times = any(m.name == "times" for m in modifiers)
         frontier, seen, found = df, df.select("id").distinct(), None
-        for level in range(depth):
+        if depth is None and emit is None and until is None:
+            depth = self.max_depth
+        # with emit or until and no bound given, it ends when nothing new is met
+        for level in count() if depth is None else range(depth):
             frontier = self.apply(frontier, body.steps).dropDuplicates(["id"])
             if not times:
                 # written each level: the frontier is read several times below
@@ -436,10 +440,12 @@ class Traverser:
     def closure(self, df: DataFrame, edge: str, forward: bool, include: bool) -> DataFrame:
         hop = self.out if forward else self.back
         frontier = materialize(df.dropDuplicates(["id"]), "frontier")
-        out, seen = frontier if include else frontier.limit(0), frontier.select("id")
-        for _ in range(self.max_depth):
+        out = frontier if include else frontier.limit(0)
+        seen = out.select("id")
+        # ends on circles too: what was reached before is left out
+        while True:
             reached = hop(frontier, edge).dropDuplicates(["id"])
-            frontier = materialize(reached.join(seen, "id", "left_anti") if include else reached, "frontier")
+            frontier = materialize(reached.join(seen, "id", "left_anti"), "frontier")
             if not frontier.take(1):
                 break
             out, seen = out.unionByName(frontier), seen.unionByName(frontier.select("id"))
@@ -450,7 +456,7 @@ class Traverser:
         e = self.edges.where(F.col("label") == "REACHING_DEF").select(F.col("src").alias("_s"), F.col("dst").alias("_d"))
         walk = sources.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.array("id").alias("path"))
         every = walk
-        for _ in range(self.max_depth):
+        while True:
             walk = walk.join(e, (walk["dst"] == F.col("_s")) & ~F.array_contains("path", F.col("_d"))).select("src", F.col("_d").alias("dst"), F.array_append("path", F.col("_d")).alias("path"))
             walk = materialize(walk, "paths")
             if not walk.take(1):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.session import table
+from graphloom.session import materialize, table
 from graphloom.sources.standin import CALL, METHOD, SQL, graph
 
 QUERIES: dict = {}
@@ -336,15 +336,18 @@ def agg_loop_depth(spark: SparkSession, d: str) -> DataFrame:
     return loop_depths(graph(spark, d))
 
 
-def loop_depths(g, max_depth: int = 4) -> DataFrame:
+def loop_depths(g) -> DataFrame:
     """Deepest nesting of loops in every method, climbing the syntax tree level by level."""
     loop = F.col("control_structure_type").isin("FOR", "WHILE", "DO")
     kinds = of(g, "CONTROL_STRUCTURE").select(F.col("id").alias("at"), loop.cast("int").alias("is_loop"))
     up = g.edges.where("label = 'AST'").select(F.col("dst").alias("at"), F.col("src").alias("parent"))
     walk = of(g, "CONTROL_STRUCTURE").where(loop).select("method_id", "id", F.col("id").alias("at"), F.lit(1).alias("depth"))
     every = walk
-    for _ in range(max_depth):
+    while True:
         walk = walk.join(up, "at").select("method_id", "id", F.col("parent").alias("at"), "depth").join(kinds, "at").select("method_id", "id", "at", (F.col("depth") + F.col("is_loop")).alias("depth"))
+        walk = materialize(walk, "climb")
+        if not walk.take(1):
+            break
         every = every.unionByName(walk)
     per = every.groupBy(F.col("method_id").alias("id")).agg(F.max("depth").alias("d"))
     return of(g, "METHOD").select("id").join(per, "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("loop_depth"))

@@ -112,7 +112,9 @@ def cluster_density(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
     """Labels of topics most like the label of each record, by the ratio of matching blocks."""
-    labels = [r[0] for r in table(spark, d, "topic_cluster").select("label").distinct().orderBy("label").limit(1000).collect()]
+    labels = [r[0] for r in table(spark, d, "topic_cluster").select("label").distinct().orderBy("label").limit(1001).collect()]
+    if len(labels) > 1000:
+        raise ValueError("more than 1000 labels to match against")
 
     @F.pandas_udf("string")
     def best(s: pd.Series) -> pd.Series:

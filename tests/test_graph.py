@@ -2,7 +2,8 @@ import pytest
 
 from graphloom.operators.traversal import Traverser, TraversalError, parse
 from graphloom.operators.vectors import components, nearest, similar_pairs
-from graphloom.plans.code_graph import add_tags, as_of, longest_prefix, range_overlap, threshold_or_top
+from graphloom.plans.code_graph import add_tags, as_of, longest_prefix, loop_depths, range_overlap, threshold_or_top
+from graphloom.plans.retrieval import fuzzy_match
 from graphloom.sources.standin import Graph
 
 NODES = "id bigint, label string, name string, code string, filename string, line_number int, line_number_end int, control_structure_type string, order int, is_static boolean, signature_size int, method_id bigint"
@@ -96,3 +97,24 @@ def test_vectors(spark):
     assert near == {i: int(s[i].argmax()) for i in range(5)}
     pairs = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a bigint, b bigint")
     assert {tuple(r) for r in components(spark.createDataFrame([(i,) for i in (1, 2, 3, 7, 8, 9)], "k bigint"), pairs, "k").collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7), (9, 9)}
+
+
+def test_nothing_is_lost_below_ten_levels(spark):
+    node = lambda i, label, cs=None, method=None: (i, label, f"n{i}", f"c{i}", "f.c", i, i, cs, 1, False, 1, method)
+    loops, names = range(100, 115), range(200, 215)
+    nodes = [node(1, "METHOD")] + [node(i, "CONTROL_STRUCTURE", "FOR", 1) for i in loops] + [node(i, "IDENTIFIER") for i in names]
+    edges = [(1, 100, "AST", None)] + [(i, i + 1, "AST", None) for i in loops[:-1]] + [(i, i + 1, "REACHING_DEF", None) for i in names[:-1]] + [(214, 200, "REACHING_DEF", None)]
+    g = Graph(spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, "src bigint, dst bigint, label string, variable string"), spark.createDataFrame([], "node_id bigint, node_label string, tag_name string, tag_value string"))
+    t = Traverser(g)
+    method, first = t.run('cpg.method.name("n1").l'), t.run('cpg.identifier.name("n200").l')
+    assert ids(t.closure(method, "AST", True, False)) == list(loops)
+    # a circle ends, and its start is reached again
+    assert ids(t.closure(first, "REACHING_DEF", True, False)) == list(names) == ids(t.closure(first, "REACHING_DEF", True, True))
+    assert max(len(r["path"]) for r in t.flows(first, t.run("cpg.identifier.l")).collect()) == 15
+    assert [r["loop_depth"] for r in loop_depths(g).collect()] == [15]
+
+
+def test_too_many_labels_are_an_error(spark, tmp_path):
+    spark.createDataFrame([(f"label {k}",) for k in range(1001)], "label string").write.parquet(str(tmp_path / "topic_cluster.parquet"))
+    with pytest.raises(ValueError):
+        fuzzy_match(spark, str(tmp_path))
