@@ -101,9 +101,14 @@ def split_paragraphs(c: Column) -> Column:
 
 
 def sliding_windows(c: Column, size: int, step: int) -> Column:
-    """Windows of ``size`` words every ``step`` words."""
+    """Windows of ``size`` words every ``step`` words. The words are cut once: a one-element array binds them for all windows."""
     words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(step)), lambda i: i < F.size(words)), lambda i: F.array_join(F.slice(words, i + 1, size), " "))
+
+    def windows(ws: Column) -> Column:
+        starts = F.when(F.size(ws) > 0, F.sequence(F.lit(0), F.size(ws) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(ws, i + 1, size), " "))
+
+    return F.flatten(F.transform(F.array(words), windows))
 
 
 def extract_functions(c: Column) -> Column:

@@ -2,16 +2,19 @@
 
 A text is tokenised into character classes (digits become 9, every run of letters one a). A mask
 is matched against the layouts below once per process; all texts of that mask are then converted
-together with numpy. Wall-clock times pass through transition tables of the one version of
-the time zone database that the driver names, so that all executors use the same rules.
+together with numpy. Wall-clock times pass through transition tables of one version of the time
+zone database, read by the driver and broadcast, so that all executors use the same rules.
 """
 
 from __future__ import annotations
 
+import calendar
 import functools
 import re
+import struct
 from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -77,7 +80,6 @@ _COMPILED = [
     (re.compile(t.format(**{k: v[0] for k, v in _PIECES.items()})), re.compile((m or t).format(**{k: v[1] for k, v in _PIECES.items()})))
     for t, m in _LAYOUTS
 ]
-_LONGEST = 80
 
 
 def shape_mask(text: str) -> str:
@@ -97,73 +99,133 @@ def parser_of(mask: str) -> re.Pattern | None:
 # ---- zone transition tables
 
 
-def tz_version() -> str:
-    """The version of the time zone database the tables are made from."""
+def _database() -> tuple[str, list[str]]:
+    """(version, zone folders) of the one database the tables are made from: the ``tzdata`` package where it is
+    installed, else the first folder of the system's search path. Files and version come from the same place."""
+    import zoneinfo
+
     try:
-        from importlib.metadata import version
+        import tzdata
 
-        return "tzdata-" + version("tzdata")
-    except Exception:
+        return "tzdata-" + tzdata.IANA_VERSION, [str(Path(tzdata.__file__).parent / "zoneinfo")]
+    except ImportError:
         pass
-    import zoneinfo
-
-    for path in zoneinfo.TZPATH:
+    for folder in zoneinfo.TZPATH:
         for name in ("+VERSION", "tzdata.zi"):
             try:
-                with open(f"{path}/{name}") as f:
-                    return f.readline().strip().removeprefix("# version ")
+                with open(f"{folder}/{name}") as f:
+                    return f.readline().strip().removeprefix("# version "), [folder]
             except OSError:
                 continue
-    return "unknown"
-
-
-@functools.lru_cache(maxsize=2_000)
-def zone_transitions(zone: str, first_year: int = 1970, last_year: int = 2050) -> tuple[np.ndarray, np.ndarray] | None:
-    """(starts, offsets) of a zone in microseconds: from starts[i] UTC on the offset is offsets[i].
-    None for an unknown zone. Changes are bracketed weekly, then bisected to the second."""
-    import zoneinfo
-
-    try:
-        tz = zoneinfo.ZoneInfo(zone)
-    except Exception:
-        return None
-
-    def at(s: int) -> int:
-        return round((datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=s)).astimezone(tz).utcoffset().total_seconds())
-
-    lo = int(datetime(first_year, 1, 1, tzinfo=timezone.utc).timestamp())
-    hi = int(datetime(last_year, 1, 1, tzinfo=timezone.utc).timestamp())
-    starts, offsets, before = [-(1 << 62)], [at(lo) * SECOND], at(lo)
-    for s in range(lo, hi, 604_800):
-        now = at(s + 604_800)
-        if now != before:
-            a, b = s, s + 604_800
-            while b - a > 1:
-                a, b = ((a + b) // 2, b) if at((a + b) // 2) == before else (a, (a + b) // 2)
-            starts.append(b * SECOND)
-            offsets.append(at(b) * SECOND)
-            before = now
-    return np.array(starts, "int64"), np.array(offsets, "int64")
+    raise RuntimeError("no time zone database with a version: install the tzdata package")
+
+
+def _read_zone(data: bytes) -> tuple[list[int], list[int], str]:
+    """(starts, offsets, rule) of a compiled zone file in seconds: offsets[0] holds before all starts, so
+    offsets is one longer; rule is the text that gives the years after the last start."""
+
+    def block(at: int, width: int) -> tuple[list[int], list[int], int]:
+        utc, std, leap, times, types, chars = struct.unpack(">6l", data[at + 20 : at + 44])
+        at += 44
+        starts = list(struct.unpack(f">{times}{'q' if width == 8 else 'l'}", data[at : at + times * width]))
+        kinds = list(data[at + times * width : at + times * (width + 1)])
+        at += times * (width + 1)
+        east = [struct.unpack(">l", data[at + 6 * k : at + 6 * k + 4])[0] for k in range(types)]
+        return starts, [east[0], *(east[k] for k in kinds)], at + 6 * types + chars + leap * (width + 4) + std + utc
+
+    starts, offsets, end = block(0, 4)
+    if data[4:5] < b"2":
+        return starts, offsets, ""
+    starts, offsets, end = block(end, 8)
+    return starts, offsets, data[end:].strip(b"\n").decode("ascii")
+
+
+_RULE = re.compile(r"(?:<[^<>]+>|[A-Za-z]+)([+-]?[\d:]+)(?:(?:<[^<>]+>|[A-Za-z]+)([+-]?[\d:]+)?,([^,]+),([^,]+))?")
+
+
+def _seconds(clock: str) -> int:
+    sign, parts = -1 if clock.startswith("-") else 1, clock.lstrip("+-").split(":")
+    return sign * sum(int(x) * u for x, u in zip(parts, (3600, 60, 1)))
+
+
+def _rule_day(rule: str, year: int) -> int:
+    """Days since 1970 and seconds of the wall clock at which a rule of the kind M10.5.0/3, J60 or 59 applies."""
+    day, _, clock = rule.partition("/")
+    after = _seconds(clock) if clock else 7200
+    first = date(year, 1, 1).toordinal() - 719_163
+    if day.startswith("M"):
+        month, week, weekday = map(int, day[1:].split("."))
+        begin = date(year, month, 1)
+        d = begin.toordinal() + (weekday - begin.isoweekday()) % 7 + 7 * (week - 1)
+        length = calendar.monthrange(year, month)[1]
+        days = d - 719_163 if d - begin.toordinal() < length else d - 719_163 - 7
+    elif day.startswith("J"):
+        n = int(day[1:])
+        days = first + n - 1 + (calendar.isleap(year) and n >= 60)
+    else:
+        days = first + int(day)
+    return days * 86_400 + after
+
+
+#: The calendar, weekdays included, repeats after 400 years; so do the rules that hold after the last listed change.
+CYCLE = 146_097 * DAY
+
+
+def _extended(starts: list[int], offsets: list[int], rule: str) -> tuple[np.ndarray, np.ndarray, int | None]:
+    """(starts, offsets, end) in microseconds: the listed changes, then those of the rule for 400 years and
+    a little more; ``end`` is from where on instants are looked up 400 years earlier, None where nothing changes."""
+    starts, offsets = list(starts), list(offsets)
+    m = _RULE.fullmatch(rule) if rule else None
+    end = None
+    if m and m[3]:
+        base = -_seconds(m[1])
+        summer = -_seconds(m[2]) if m[2] else base + 3600
+        year = (datetime(1970, 1, 1) + timedelta(seconds=starts[-1])).year if starts else 1970
+        for y in range(year, year + 404):
+            for at, east in sorted([(_rule_day(m[3], y) - base, summer), (_rule_day(m[4], y) - summer, base)]):
+                if (not starts or at > starts[-1]) and east != offsets[-1]:
+                    starts.append(at)
+                    offsets.append(east)
+        end = (date(year + 402, 1, 1).toordinal() - 719_163) * DAY
+    elif m and starts and -_seconds(m[1]) != offsets[-1]:
+        offsets[-1] = -_seconds(m[1])
+    return np.array([-(1 << 62), *(x * SECOND for x in starts)], "int64"), np.array([x * SECOND for x in offsets], "int64"), end
+
+
+@functools.lru_cache(maxsize=1)
+def zone_files() -> tuple[str, dict[str, tuple[list[int], list[int], str]]]:
+    """(version, zone -> listed changes and rule) of the database of this machine: read once, on the driver."""
+    version, folders = _database()
+    zones = {}
+    for folder in folders:
+        for path in sorted(Path(folder).rglob("*")):
+            name = path.relative_to(folder).as_posix()
+            if path.is_file() and not name.startswith(("right/", "posix/")):
+                data = path.read_bytes()
+                if data[:4] == b"TZif":
+                    zones[name] = _read_zone(data)
+    return version, zones
 
 
 class ZoneTables:
-    """The tables of one database version, each made when a process first meets its zone. A process
-    whose own database is of another version stops instead of mixing rules."""
+    """The transition tables of one version of the database. They are read by the driver and sent along (some 600
+    zones, about 1 MB), so whatever an executor has installed plays no part; a zone is extended when first met."""
 
-    def __init__(self, version: str):
-        self.version = version
-        self._checked = False
+    def __init__(self, version: str, zones: dict[str, tuple[list[int], list[int], str]]):
+        self.version, self.zones, self._made = version, zones, {}
 
-    def get(self, zone: str) -> tuple[np.ndarray, np.ndarray] | None:
-        if not self._checked:
-            if (here := tz_version()) != self.version:
-                raise RuntimeError(f"time zone database {here} here, {self.version} on the driver")
-            self._checked = True
-        return zone_transitions(zone)
+    def get(self, zone: str) -> tuple[np.ndarray, np.ndarray, int | None] | None:
+        if zone not in self._made and zone in self.zones:
+            self._made[zone] = _extended(*self.zones[zone])
+        return self._made.get(zone)
 
 
-def wall_to_instant(wall: np.ndarray, starts: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def wall_to_instant(wall: np.ndarray, starts: np.ndarray, offsets: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(instants, settled) of wall-clock microseconds; not settled: shown never or twice."""
+    if end is not None:
+        ahead = np.maximum(0, -(-(wall - end) // CYCLE)) * CYCLE
+        instants, settled = wall_to_instant(wall - ahead, starts, offsets)
+        return instants + ahead, settled
 
     def offset(at: np.ndarray) -> np.ndarray:
         return offsets[np.searchsorted(starts, at, "right") - 1]
@@ -275,26 +337,26 @@ def _column(texts: pd.Series, zone: pd.Series, order: pd.Series, tables: ZoneTab
     none = np.iinfo("int64").min
     out = np.full(len(texts), none, "int64")
     clean = texts.fillna("").str.strip()
-    clean = clean.where(clean.str.len() <= _LONGEST, "")
     masks = np.array([shape_mask(x) for x in clean], dtype=object)
     zones, orders = zone.to_numpy(dtype=object), order.to_numpy(dtype=object)
     for mask in pd.unique(masks):
         if mask and (pattern := parser_of(mask)) is not None:
             at = np.flatnonzero(masks == mask)
             out[at] = _convert(clean.iloc[at].reset_index(drop=True), pattern, zones[at], orders[at], tables)
-    return pd.Series(np.where(out == none, 0, out), dtype="int64").mask(pd.Series(out == none))
+    return pd.Series(pd.arrays.IntegerArray(np.where(out == none, 0, out), out == none))
 
 
 def normalise_dates(df: DataFrame, text: str = "date", zone: str = "zone_name", order: str = "date_order", result: str = "instant_us") -> DataFrame:
     """``df`` with a bigint column: the instant of ``text`` in microseconds since 1970 UTC, or null
     where the text settles none (no text, impossible, no time, a wall time shown never or twice,
     no zone in text and row). ``zone`` is the row's IANA zone, ``order`` its order of slashed dates;
-    both may be null. All other columns stay; texts over 80 characters are no dates.
+    both may be null. All other columns stay; texts may be of any length.
     """
-    tables = ZoneTables(tz_version())
+    shared = df.sparkSession.sparkContext.broadcast(zone_files())
 
     @F.pandas_udf("bigint")
     def instants(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        tables = ZoneTables(*shared.value)
         for t, z, o in batches:
             yield _column(t, z, o, tables)
 
@@ -303,8 +365,9 @@ def normalise_dates(df: DataFrame, text: str = "date", zone: str = "zone_name",
 
 def delivery_instants(mail: DataFrame, sites: DataFrame) -> DataFrame:
     """(delivery_id, instant_us) of every delivery whose date denotes exactly one instant.
-    A site missing from ``sites`` leaves only texts with their own zone settled."""
-    site = sites.select(F.col("site_id").alias("_site"), "zone_name", "date_order").dropDuplicates(["_site"])
+    A site missing from ``sites`` leaves only texts with their own zone settled; of a site listed more than
+    once the smallest (zone, order) counts."""
+    site = sites.groupBy(F.col("site_id").alias("_site")).agg(F.min(F.struct("zone_name", "date_order")).alias("s")).select("_site", "s.*")
     rows = mail.select("delivery_id", "site_id", "date").where(F.col("date").isNotNull())
     rows = rows.join(site, F.col("site_id") == F.col("_site"), "left")
     return normalise_dates(rows).where("instant_us is not null").select(F.col("delivery_id").cast("bigint").alias("delivery_id"), "instant_us")

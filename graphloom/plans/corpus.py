@@ -156,7 +156,7 @@ def validate_workflow(spark: SparkSession, d: str) -> DataFrame:
 _DANGEROUS = ["system", "exec", "runtime", "import", "os.", "subprocess", "file.write", "file.delete", "process.", "__import__", "eval", "compile"]
 
 
-@query("select ragas_key, ground_truth is not null and starts_with(ground_truth, 'cpg') and not regexp_matches(ground_truth, 'exec|import|system|delete|drop') as safe from ragas_dataset")
+@query("select ragas_key, coalesce(starts_with(ltrim(lower(ground_truth)), 'cpg') and not (" + " or ".join(f"contains(lower(ground_truth), '{p}')" for p in _DANGEROUS) + "), false) as safe from ragas_dataset")
 def validate_safe(spark: SparkSession, d: str) -> DataFrame:
     """Begins with the graph's name and holds none of the reference's patterns, in whatever case."""
     g = F.lower("ground_truth")
@@ -338,23 +338,6 @@ def win_topn_of_array(spark: SparkSession, d: str) -> DataFrame:
     return qa(spark, d).where(F.size("topics") >= 3).select("qa_key", F.array_join(F.slice("topics", 1, 3), "|").alias("first_topics"))
 
 
-@query("select url, count(*) as n from (select regexp_replace(url, '[?#].*$', '') as url from mail_raw where url like 'http%') group by 1 having count(*) > 1")
-def scan_html_links(spark: SparkSession, d: str) -> DataFrame:
-    links = table(spark, d, "mail_raw").where("url like 'http%'").select(F.regexp_replace("url", r"[?#].*$", "").alias("url"))
-    return links.groupBy("url").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("select strftime(m, '%Y-%m') as month from (select unnest(generate_series(date '2021-01-01', date '2024-12-01', interval 1 month)) as m)")
 def gen_range(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.expr("sequence(date'2021-01-01', date'2024-12-01', interval 1 month)")).alias("m")).select(F.date_format("m", "yyyy-MM").alias("month"))
-
-
-@query("select chapter, min(chunk_index) as first_chunk, count(*) as chunks from documents where chapter is not null group by 1")
-def scan_html_toc(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("chapter is not null").groupBy("chapter").agg(F.min("chunk_index").alias("first_chunk"), F.count(F.lit(1)).alias("chunks"))
-
-
-@query("select doc_id, count(*) as comments from (select doc_id, unnest(regexp_extract_all(text, '(?s)/\\*\\*?(.*?)\\*/', 1)) as c from documents where text is not null) where length(c) >= 50 group by 1")
-def extract_block_comments(spark: SparkSession, d: str) -> DataFrame:
-    c = docs(spark, d).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?s)/\*\*?(.*?)\*/"))).alias("c"))
-    return c.where(F.length("c") >= 50).groupBy("doc_id").agg(F.count(F.lit(1)).alias("comments"))

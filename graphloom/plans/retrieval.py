@@ -80,7 +80,7 @@ def retrieve_rerank(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_UNIT + " select a.vec_id as a, b.vec_id as b from n a join n b on a.vec_id < b.vec_id where list_dot_product(a.u, b.u) >= 0.45")
 def join_pairwise_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs of a cosine of 0.45 or more, by an exact pivot filter."""
+    """All pairs of a cosine of 0.45 or more: a threshold at which no filter works, so blocks are compared as matrices."""
     return V.similar_pairs(vectors(spark, d), "vec_id", "embedding", 0.45).select("a", "b")
 
 
@@ -94,13 +94,15 @@ def dedup_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def cluster_kmeans(spark: SparkSession, d: str) -> DataFrame:
-    """k-means with k = n div 10, at least 2 and at most 50."""
+    """k-means with k = n div 10, at least 2 and at most 50; the best of ten starts, each of at most 300 rounds."""
     v = vectors(spark, d).select("vec_id", array_to_vector("embedding").alias("features"))
     k = max(2, min(50, v.count() // 10))
-    return KMeans(k=k, seed=42, maxIter=30).fit(v).transform(v).select("vec_id", F.col("prediction").alias("cluster"))
+    models = [KMeans(k=k, seed=42 + start, maxIter=300).fit(v) for start in range(10)]
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    return best.transform(v).select("vec_id", F.col("prediction").alias("cluster"))
 
 
-@query()
+@query("with recursive v" + _UNIT.removeprefix("with v") + ", p as (select a.vec_id as a, b.vec_id as b from n a join n b on a.vec_id <> b.vec_id where list_dot_product(a.u, b.u) >= 0.45), t as (select vec_id as x, vec_id as component from v union select p.b, t.component from t join p on p.a = t.x), c as (select x, min(component) as component from t group by 1), s as (select component, count(*) as n from c group by 1) select x as vec_id, case when n >= 5 then component else -1 end as cluster from c join s using (component)")
 def cluster_density(spark: SparkSession, d: str) -> DataFrame:
     """Connected groups of near vectors; -1 for groups under five."""
     pairs = materialize(V.similar_pairs(vectors(spark, d), "vec_id", "embedding", 0.45), "near")
@@ -111,18 +113,50 @@ def cluster_density(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
-    """Labels of topics most like the label of each record, by the ratio of matching blocks."""
-    labels = [r[0] for r in table(spark, d, "topic_cluster").select("label").distinct().orderBy("label").limit(1001).collect()]
-    if len(labels) > 1000:
-        raise ValueError("more than 1000 labels to match against")
+    """Labels of topics most like the label of each record: the ratio of matching blocks, at least 0.7 where one
+    holds the other, and 0.6 or more to count; ties go to the smaller label. Distinct labels are compared, the
+    topics' in blocks of bounded size; no label is left out."""
+    records = table(spark, d, "all_qa_merged").select("qa_key", "cluster_label").where("cluster_label is not null")
+    return records.join(fuzzy_labels(records.select("cluster_label").distinct(), table(spark, d, "topic_cluster").select("label").where("label is not null").distinct()), "cluster_label", "left").select("qa_key", "match")
+
+
+def fuzzy_labels(texts: DataFrame, labels: DataFrame, threshold: float = 0.6, block: int = 1000) -> DataFrame:
+    """(cluster_label, match): the label of the highest ratio of each text, if it reaches the threshold."""
+    spark = texts.sparkSession
+    blocks = max(1, -(-labels.count() // block))
+    every = spark.createDataFrame([], "cluster_label string, match string, ratio double")
+    for b in range(blocks):
+        shared = spark.sparkContext.broadcast(sorted(r[0] for r in labels.where(F.pmod(F.xxhash64("label"), F.lit(blocks)) == b).collect()))
+
+        def best(it: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                out = []
+                for text in pdf["cluster_label"]:
+                    matcher, low = difflib.SequenceMatcher(autojunk=False), text.lower()
+                    matcher.set_seq2(low)
+                    top = (threshold, None)
+                    for label in shared.value:
+                        held = low in label.lower() or label.lower() in low
+                        matcher.set_seq1(label.lower())
+                        # the quick bounds are never below the ratio
+                        if held or (matcher.real_quick_ratio() >= top[0] and matcher.quick_ratio() >= top[0]):
+                            ratio = max(matcher.ratio(), 0.7 if held else 0.0)
+                            if ratio > top[0] or (ratio == top[0] and top[1] is None):
+                                top = (ratio, label)
+                    if top[1] is not None:
+                        out.append((text, top[1], top[0]))
+                yield pd.DataFrame(out, columns=["cluster_label", "match", "ratio"])
+
+        every = every.unionByName(texts.select("cluster_label").mapInPandas(best, "cluster_label string, match string, ratio double"))
+    return every.groupBy("cluster_label").agg(F.min_by("match", F.struct(-F.col("ratio"), F.col("match"))).alias("match"))
 
-    @F.pandas_udf("string")
-    def best(s: pd.Series) -> pd.Series:
-        memo = {x: next(iter(difflib.get_close_matches(x, labels, 1, 0.6)), None) for x in s.dropna().unique()}
-        return s.map(memo.get)
 
-    records = table(spark, d, "all_qa_merged").select("qa_key", "cluster_label")
-    return records.where("cluster_label is not null").select("qa_key", best("cluster_label").alias("match"))
+@query()
+def dedup_greedy(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors left after the greedy pass that keeps the longer text of each alike pair (text length stood in by a
+    number drawn from the key). Tested against the sequential pass."""
+    v = vectors(spark, d).select("vec_id", (F.col("vec_id") * 7919 % 101).alias("size"))
+    return V.keep_longer(v, join_pairwise_similarity(spark, d), "vec_id", "size").select("vec_id")
 
 
 # ---- threads
@@ -155,7 +189,11 @@ def agg_tag_effectiveness(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).groupBy(F.col("event_type").alias("tag")).agg(F.count(F.lit(1)).alias("uses"), F.round(F.avg(v), 6).alias("mean_value"), F.round(score, 6).alias("score"))
 
 
-@query("select event_id, coalesce(epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id, event_type order by ts, event_id)) <= 3600 * 24 * 1000000::bigint, false) as hit from events")
+# The trace folded row by row: an entry lives a day from the look-up that set it, whatever hits come between.
+_CACHE = "with recursive o as (select event_id, user_id, event_type, epoch_us(ts) as t_us, row_number() over (partition by user_id, event_type order by ts, event_id) as i from events), f as (select event_id, user_id, event_type, i, t_us as since, false as hit from o where i = 1 union all select o.event_id, o.user_id, o.event_type, o.i, case when o.t_us - f.since <= 86400000000 then f.since else o.t_us end, o.t_us - f.since <= 86400000000 from f join o on o.user_id = f.user_id and o.event_type = f.event_type and o.i = f.i + 1)"
+
+
+@query(_CACHE + " select event_id, hit from f")
 def cache_lru(spark: SparkSession, d: str) -> DataFrame:
     """A trace of look-ups by (user, type) against a cache that keeps an entry for a day from the look-up
     that set it: a miss sets it anew, a hit does not prolong it. One pass over sorted partitions; between
@@ -184,7 +222,7 @@ def cache_lru(spark: SparkSession, d: str) -> DataFrame:
     return ordered.mapInPandas(replay, "event_id bigint, hit boolean")
 
 
-@query("select event_type, round(avg(hit::int), 6) as hit_rate, count(*) as lookups from (select event_type, coalesce(epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id, event_type order by ts, event_id)) <= 3600 * 24 * 1000000::bigint, false) as hit from events) group by 1")
+@query(_CACHE + " select event_type, round(avg(hit::int), 6) as hit_rate, count(*) as lookups from f group by 1")
 def cache_metrics(spark: SparkSession, d: str) -> DataFrame:
     kinds = events(spark, d).select("event_id", "event_type")
     return cache_lru(spark, d).join(kinds, "event_id").groupBy("event_type").agg(F.round(F.avg(F.col("hit").cast("int")), 6).alias("hit_rate"), F.count(F.lit(1)).alias("lookups"))

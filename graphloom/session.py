@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,12 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder shared by all executors: ``spark.checkpoint.dir``; only where a session
-    has none (tests, single machine) a temporary one is made and remembered in the session."""
+    """The folder shared by all executors: ``spark.checkpoint.dir``. Only on a local master, where all
+    executors are this machine, a temporary one is made for a session that names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("graphloom.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="graphloom-checkpoint-")
         spark.conf.set("graphloom.checkpoint.dir", root)
     return root

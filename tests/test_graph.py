@@ -1,9 +1,9 @@
 import pytest
 
 from graphloom.operators.traversal import Traverser, TraversalError, parse
-from graphloom.operators.vectors import components, nearest, similar_pairs
+from graphloom.operators.vectors import components, keep_longer, nearest, similar_pairs, tables_for
 from graphloom.plans.code_graph import add_tags, as_of, longest_prefix, loop_depths, range_overlap, threshold_or_top
-from graphloom.plans.retrieval import fuzzy_match
+from graphloom.plans.retrieval import fuzzy_labels
 from graphloom.sources.standin import Graph
 
 NODES = "id bigint, label string, name string, code string, filename string, line_number int, line_number_end int, control_structure_type string, order int, is_static boolean, signature_size int, method_id bigint"
@@ -114,7 +114,50 @@ def test_nothing_is_lost_below_ten_levels(spark):
     assert [r["loop_depth"] for r in loop_depths(g).collect()] == [15]
 
 
-def test_too_many_labels_are_an_error(spark, tmp_path):
-    spark.createDataFrame([(f"label {k}",) for k in range(1001)], "label string").write.parquet(str(tmp_path / "topic_cluster.parquet"))
-    with pytest.raises(ValueError):
-        fuzzy_match(spark, str(tmp_path))
+def test_every_label_is_compared(spark):
+    labels = spark.createDataFrame([(f"topic number {k}",) for k in range(1001)] + [("zzz",)], "label string")
+    texts = spark.createDataFrame([("topic number 777",), ("Topic",), ("qqqqq",), ("zz",)], "cluster_label string")
+    got = {r[0]: r[1] for r in fuzzy_labels(texts, labels, block=100).collect()}
+    # one text in another counts 0.7 at least; among equals the smaller label
+    assert got == {"topic number 777": "topic number 777", "Topic": "topic number 0", "zz": "zzz"}
+
+
+def test_hashed_pairs_reach_their_recall_and_prune(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    shares = []
+    for n in (400, 1600):
+        m = rng.standard_normal((n, 32))
+        m[n // 2 :] = m[: n // 2] + 0.45 * rng.standard_normal((n // 2, 32))
+        u = m / np.linalg.norm(m, axis=1)[:, None]
+        s = np.triu(u @ u.T, 1)
+        df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "k bigint, v array<float>")
+        want = set(zip(*np.nonzero(s >= 0.85)))
+        got = {(r["a"], r["b"]) for r in similar_pairs(df, "k", "v", 0.85, recall=0.95).collect()}
+        assert got <= want and len(got) >= 0.9 * len(want) > 20
+        bits = max(4, int(np.ceil(np.log2(n / 64))))
+        shares.append(2.0**-bits * tables_for(0.85, bits, 0.95))
+    assert shares[1] <= shares[0]
+
+
+def test_keep_longer_is_the_sequential_pass(spark):
+    import random
+
+    rng = random.Random(5)
+    for n, m in ((30, 25), (40, 90)):
+        size = [rng.randrange(4) for _ in range(n)]
+        pairs = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(m)}
+        gone = set()
+        for i in range(n):
+            if i in gone:
+                continue
+            for j in range(i + 1, n):
+                if (i, j) in pairs and j not in gone:
+                    if size[j] > size[i]:
+                        gone.add(i)
+                        break
+                    gone.add(j)
+        rows = spark.createDataFrame(list(enumerate(size)), "id bigint, z int")
+        left = keep_longer(rows, spark.createDataFrame(sorted(pairs), "a bigint, b bigint"), "id", "z")
+        assert {r["id"] for r in left.collect()} == set(range(n)) - gone

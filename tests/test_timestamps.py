@@ -2,14 +2,14 @@ from datetime import datetime, timezone
 
 import pytest
 
-from graphloom.operators.timestamps import ZoneTables, _column, delivery_instants, parser_of, shape_mask, tz_version, wall_to_instant, zone_transitions
+from graphloom.operators.timestamps import ZoneTables, _column, _database, delivery_instants, parser_of, shape_mask, wall_to_instant, zone_files
 
 import numpy as np
 import pandas as pd
 
 
 def one(text, zone="Etc/UTC", order="dmy"):
-    out = _column(pd.Series([text]), pd.Series([zone]), pd.Series([order]), ZoneTables(tz_version()))
+    out = _column(pd.Series([text]), pd.Series([zone]), pd.Series([order]), ZoneTables(*zone_files()))
     return None if pd.isna(out.iloc[0]) else int(out.iloc[0])
 
 
@@ -58,14 +58,30 @@ def test_mask_is_parsed_once():
     assert parser_of(shape_mask("2021-01-05 10:00:00")) is parser_of(shape_mask("1999-12-31 23:59:59"))
 
 
-def test_transitions_agree_with_the_database():
+@pytest.mark.parametrize("zone", ["Europe/Berlin", "Europe/Dublin", "Australia/Sydney", "America/Sao_Paulo", "Africa/Casablanca", "Asia/Kathmandu"])
+def test_transitions_agree_with_the_database(zone):
     import zoneinfo
 
-    starts, offsets = zone_transitions("Europe/Berlin")
-    wall = np.array([us(2021, 7, 1, 12)], "int64")
-    instant, settled = wall_to_instant(wall, starts, offsets)
-    assert settled[0] and instant[0] == int(datetime(2021, 7, 1, 12, tzinfo=zoneinfo.ZoneInfo("Europe/Berlin")).timestamp()) * 1_000_000
-    assert zone_transitions("No/Where") is None
+    # the same files: the system's own may be of another version
+    with open(f"{_database()[1][0]}/{zone}", "rb") as f:
+        own = zoneinfo.ZoneInfo.from_file(f)
+    table = ZoneTables(*zone_files()).get(zone)
+    for year in (1900, 1945, 1960, 1987, 2021, 2060, 2437, 9990):
+        for month in (1, 7):
+            wall = np.array([us(year, month, 1, 12)], "int64")
+            instant, settled = wall_to_instant(wall, *table)
+            assert settled[0] and instant[0] == int(datetime(year, month, 1, 12, tzinfo=own).timestamp()) * 1_000_000, year
+
+
+def test_unknown_zone():
+    assert ZoneTables(*zone_files()).get("No/Where") is None
+
+
+def test_long_texts_and_far_years():
+    assert one("Thu, 7 Jan 2021 13:52:30 +0200 (" + "a long remark on the zone " * 6 + ")") == us(2021, 1, 7, 11, 52, 30)
+    assert one("1960-01-15 12:00:00", "Europe/London") == us(1960, 1, 15, 12)
+    assert one("2060-07-15 12:00:00", "Europe/London") == us(2060, 7, 15, 11)
+    assert one("2300-07-15 12:00:00.123457", "Etc/UTC") == us(2300, 7, 15, 12, micro=123457)
 
 
 def test_table(spark):
