@@ -10,12 +10,13 @@ signatures, notices and footers are not new text.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.conversations import bare_identifier, instant_of, sender_address
@@ -24,6 +25,7 @@ from graphloom.session import materialize
 from graphloom.skew import lookup_join
 
 QUOTE = re.compile(r"^\s{0,3}(?:(?:>|\||:(?=\s|$)|[A-ZÀ-Þ]{1,3}>|%(?=\s))\s?)+")
+_MARKS = frozenset(">|:%ABCDEFGHIJKLMNOPQRSTUVWXYZ") | frozenset(map(chr, range(0xC0, 0xDF)))
 _TABLE = re.compile(r"^\s*\|.*\|\s*$")
 _HEADER = re.compile(r"^\*?(?:From|De|Von|Da|Sent|Gesendet|Envoyé|Enviado|Date|Datum|Fecha|To|An|À|Para|Cc|Subject|Betreff|Objet|Asunto|Reply-To|Message-ID)\*?\s?:\*?\s", re.I)
 _SEPARATOR = re.compile(r"^\s*(?:-{3,}\s*[^-\s].*?-{3,}|-{3,}\s*(?:original|forwarded|ursprüngliche|message|weitergeleitete).*|\*\s\*\s\*|_{20,}|={5,}|Begin forwarded message:)\s*$", re.I)
@@ -35,6 +37,8 @@ _INTRO_END = re.compile(
 )
 _DATE = re.compile(r"\b\d{4}-\d{2}-\d{2}|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}|\b\d{1,2}:\d{2}\b|\b(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun|Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\b")
 _CONTACT = re.compile(r"[^\s<>()]+@[^\s<>()]+|https?://\S+|www\.\S+|(?:\+|00|\b0)\s?\d[\d\s./()-]{6,}\d|\b\d{3}[ .-]\d{3,4}\b|\bext\.|\b(?:phone|tel|mob|mobile|fax)\b", re.I)
+_CONTACT_SIGNS = frozenset("@:+0123456789")
+_CONTACT_WORD = re.compile(r"www\.|ext\.|phone|tel|mob|fax", re.I)
 # Closing formulas, and words of notices and list footers.
 CLOSINGS = {
     "regards", "kind regards", "best regards", "best", "thanks", "thanks in advance", "thank you", "many thanks", "cheers", "sincerely", "yours", "yours sincerely",
@@ -49,17 +53,30 @@ _NOTICE = re.compile(
     re.I,
 )
 _FOOTER = re.compile(r"mailing list|^to (?:leave|unsubscribe|make changes)|unsubscribe|you (?:are )?receiv\w* this (?:because|message)|~--~|^list (?:info|archive)|^archives?:|manage your subscription|follow the .* list", re.I)
+# one of these stands in every line that the two patterns above can fit; looking for them first is cheaper
+_NOTICE_SIGNS = ("privileged", "confidential", "liabilit", "intended ", "registered office", "register no", "virus", "disclaimer", "copying or", "passing it on", "unless agreed", "strictly prohibited", "sent ", "get ", "von meinem", "envoyé de", "enviado desde", "sorry for typos", "mail and any", "the environment", "vertraulich")
+_FOOTER_SIGNS = ("mailing list", "to leave", "to make changes", "unsubscribe", "receiv", "~--~", "list info", "list archive", "archive", "manage your subscription", "follow the")
+
+
+def _hits(pattern: re.Pattern, signs: tuple[str, ...], line: str) -> bool:
+    low = line.lower()
+    return any(x in low for x in signs) and pattern.search(line) is not None
+
+
 _GREETING = re.compile(r"^(?:hi|hello|hey|hallo|dear|good (?:morning|afternoon|evening|day)|moin|bonjour|salut|hola|ciao|guten tag|liebe[rs]?|all)\b[^.?!]{0,40}[,!]?\s*$", re.I)
 _WORD = re.compile(r"\w+")
 
 FEATURES = [
     "depth", "overlap", "contacts", "global_rate", "sender_frequency", "intro", "in_forward", "header", "separator", "delimiter", "after_delimiter", "closing",
-    "after_closing", "notice", "footer", "name", "words", "lines", "sentence", "greeting", "from_end", "from_start", "next_depth", "before_depth", "before_blank",
+    "after_closing", "notice", "footer", "name", "words", "lines", "sentence", "greeting", "from_end", "from_start", "next_depth", "before_depth", "before_blank", "cleaned",
 ]
 
 
 def strip_quote(line: str) -> tuple[int, str]:
     """(depth, text) of a line without its quote marks; tables drawn with bars are no quotes."""
+    # most lines have no mark, nor a capital that an initial could be, before their fifth sign
+    if ">" not in line[:8] and line[:4].strip()[:1] not in _MARKS:
+        return 0, line
     if _TABLE.match(line) and not line.lstrip().startswith(">"):
         return 0, line
     m = QUOTE.match(line)
@@ -74,23 +91,34 @@ def _grams(words: list[str]) -> list[tuple[str, ...]]:
 
 
 class Ancestors:
-    """Word runs of the earlier mails a message may repeat."""
+    """Word runs of the earlier mails a message may repeat; runs of a length are made when a line first asks for them."""
 
     def __init__(self, bodies: list[str]):
-        words = [[w.lower() for body in bodies for line in (body or "").split("\n") for w in _WORD.findall(strip_quote(line)[1])]]
-        self.runs = {n: {tuple(ws[i : i + n]) for ws in words for i in range(len(ws) - n + 1)} for n in (1, 2, 3, 4)} if words[0] else {}
+        self.words = [w for body in bodies for line in (body or "").split("\n") for w in _WORD.findall((strip_quote(line)[1] if line[:4].strip()[:1] in _MARKS else line).lower())]
+        self.runs: dict[int, set] = {}
 
     def overlap(self, text: str) -> float:
-        grams = _grams([w.lower() for w in _WORD.findall(text)])
-        if not grams or not self.runs:
+        if not self.words:
+            return 0.0
+        grams = _grams(_WORD.findall(text.lower()))
+        if not grams:
             return 0.0
-        known = self.runs[len(grams[0])]
+        n = len(grams[0])
+        if n not in self.runs:
+            self.runs[n] = set(zip(*(self.words[i:] for i in range(n))))
+        known = self.runs[n]
         return sum(g in known for g in grams) / len(grams)
 
 
-def blocks_of(body: str, bodies: list[str], sender: str, frequency: dict[int, tuple[float, float]]) -> tuple[list[list[int]], np.ndarray]:
+def _mean(values: list) -> float:
+    return sum(values) / len(values)
+
+
+def blocks_of(body: str, bodies: list[str], sender: str, frequency: dict[int, tuple[float, float]], cleaned: str | None = None) -> tuple[list[list[int]], np.ndarray]:
     """(line numbers of each block, features of each block). ``frequency`` has, by line number from
-    1, in which share of all mails and in how many of the sender's the line stands."""
+    1, in which share of all mails and in how many of the sender's the line stands; ``cleaned`` is what
+    an earlier cleaning left of the body, a hint that may be wrong or missing."""
+    kept = None if cleaned is None else {x.strip() for x in cleaned.split("\n")}
     lines = [x.rstrip("\r") for x in body.split("\n")]
     n = len(lines)
     old = Ancestors(bodies)
@@ -115,7 +143,8 @@ def blocks_of(body: str, bodies: list[str], sender: str, frequency: dict[int, tu
         f = following[i]
         joined = lines[i] + " " + (lines[f] if f is not None and not depth[f] else "")
         for text, last in ((lines[i], i), (joined, f)):
-            if last is None or intro[i]:
+            # an introduction ends in a colon or bracket, or is marked by a run of angles
+            if last is None or intro[i] or (text.rstrip()[-1:] not in (":", "]") and not text.startswith(">>>")):
                 continue
             after = following[last]
             quoted = after is not None and (depth[after] > 0 or overlap[after] > 0.6)
@@ -125,10 +154,11 @@ def blocks_of(body: str, bodies: list[str], sender: str, frequency: dict[int, tu
                 for k in range(i, last + 1):
                     intro[k] = True
                     depth[k] = 0
+    is_footer = [not blank[i] and _hits(_FOOTER, _FOOTER_SIGNS, lines[i]) for i in range(n)]
     header = [False] * n
     forward = [False] * n
     separator = [bool(_SEPARATOR.match(x)) for x in lines]
-    is_header = [bool(_HEADER.match(x)) and not depth[i] for i, x in enumerate(lines)]
+    is_header = [bool(":" in x and _HEADER.match(x)) and not depth[i] for i, x in enumerate(lines)]
     inside = False
     for i in range(n):
         f = following[i]
@@ -137,7 +167,7 @@ def blocks_of(body: str, bodies: list[str], sender: str, frequency: dict[int, tu
             inside, header[i] = True, True
         elif starts or (inside and is_header[i] and i > 0 and header[i - 1]):
             inside, header[i] = True, True
-        elif inside and (_FOOTER.search(lines[i]) or _DELIMITER.match(lines[i]) and f is not None and _FOOTER.search(lines[f])):
+        elif inside and (is_footer[i] or _DELIMITER.match(lines[i]) and f is not None and is_footer[f]):
             inside = False
         forward[i] = inside
     footer, notice = [False] * n, [False] * n
@@ -146,14 +176,14 @@ def blocks_of(body: str, bodies: list[str], sender: str, frequency: dict[int, tu
         if i == n or blank[i]:
             para = [k for k in range(start, i) if not depth[k]]
             if para:
-                at = [k for k in para if _FOOTER.search(lines[k]) and len(lines[k]) < 120]
+                at = [k for k in para if len(lines[k]) < 120 and is_footer[k]]
                 if at:
                     first = min(at)
                     if first - 1 in para and (_DELIMITER.match(lines[first - 1]) or re.match(r"^[-_~=*\s]{4,}$", lines[first - 1])):
                         first -= 1
                     for k in para:
                         footer[k] = k >= first
-                hits = [k for k in para if _NOTICE.search(lines[k])]
+                hits = [k for k in para if _hits(_NOTICE, _NOTICE_SIGNS, lines[k])]
                 if hits and not forward[para[0]]:
                     for k in para:
                         notice[k] = k >= min(hits)
@@ -161,10 +191,10 @@ def blocks_of(body: str, bodies: list[str], sender: str, frequency: dict[int, tu
     delimiter, after_delimiter = [False] * n, [False] * n
     closing, after_closing = [False] * n, [False] * n
     state = None
-    budget = 0
+    begun = False
     for i in range(n):
         if blank[i]:
-            if state == "delimiter" and budget < 8:
+            if state == "delimiter" and begun:
                 state = None
             continue
         f = following[i]
@@ -173,19 +203,17 @@ def blocks_of(body: str, bodies: list[str], sender: str, frequency: dict[int, tu
             continue
         bare = re.sub(r"[\s,.!;:–-]+$", "", lines[i].strip()).lower()
         if _DELIMITER.match(lines[i]) and i + 1 < n and not blank[i + 1] and len(lines[i + 1]) < 80:
-            state, budget = "delimiter", 8
+            state, begun = "delimiter", False
             delimiter[i] = True
         elif bare in CLOSINGS and (f is None or len(lines[f]) < 60 or depth[f] or intro[f]):
-            state, budget = "closing", 6
+            state = "closing"
             closing[i] = True
         elif state == "delimiter":
-            after_delimiter[i] = True
-            budget -= 1
+            after_delimiter[i] = begun = True
         elif state == "closing":
             short = len(_WORD.findall(lines[i])) <= 9 or bool(_CONTACT.search(lines[i]))
-            if short and budget > 0 and not re.search(r"[.?]$", lines[i].strip()):
+            if short and not re.search(r"[.?]$", lines[i].strip()):
                 after_closing[i] = True
-                budget -= 1
             else:
                 state = None
 
@@ -211,12 +239,13 @@ def blocks_of(body: str, bodies: list[str], sender: str, frequency: dict[int, tu
         f = following[j]
         freq = [frequency.get(k + 1, (0.0, 1.0)) for k in block]
         x[b] = [
-            np.mean([depth[k] for k in block]), np.mean([overlap[k] for k in block]), sum(len(_CONTACT.findall(t)) for t in text) / len(block),
-            np.log1p(1e4 * np.mean([v[0] for v in freq])), np.log1p(np.mean([v[1] for v in freq])), intro[i], forward[i], header[i], separator[i] and not blank[i], delimiter[i],
+            _mean([depth[k] for k in block]), _mean([overlap[k] for k in block]), sum(len(_CONTACT.findall(t)) for t in text if any(c in _CONTACT_SIGNS for c in t) or _CONTACT_WORD.search(t)) / len(block),
+            math.log1p(1e4 * _mean([v[0] for v in freq])), math.log1p(_mean([v[1] for v in freq])), intro[i], forward[i], header[i], separator[i] and not blank[i], delimiter[i],
             after_delimiter[i], closing[i], after_closing[i], notice[i], footer[i],
             sum(w.lower() in name_words for ws in words for w in ws) / count, min(60, count / len(block)), len(block),
-            np.mean([bool(re.search(r"[.?!;:]\s*$", t)) for t in text]), kinds[i][-1], len(full) - full.index(j) - 1, full.index(i),
+            _mean([t.rstrip()[-1:] in (".", "?", "!", ";", ":") for t in text]), kinds[i][-1], len(full) - full.index(j) - 1, full.index(i),
             depth[f] if f is not None else 0, depth[blocks[b - 1][-1]] if b else 0, i == 0 or blank[i - 1],
+            0.5 if kept is None else _mean([lines[k].strip() in kept for k in block]),
         ]
     return [[k + 1 for k in block] for block in blocks], x
 
@@ -251,9 +280,29 @@ def _line_frequencies(rows: DataFrame) -> DataFrame:
     return joined.groupBy("msg").agg(F.collect_list(F.struct("line_no", "rate", F.coalesce("n_sender", F.lit(1)).alias("n_sender"))).alias("entries"))
 
 
-def prepared(rows: DataFrame, ancestors: int = 3) -> DataFrame:
-    """One row per message: body, sender, frequencies of its lines, and the bodies of its nearest
-    ``ancestors`` ancestors."""
+def ancestor_pairs(links: DataFrame) -> DataFrame:
+    """(id, ancestor, level) of every message and every message above it, of (id, up) pairs. Paths are doubled each
+    round, so the rounds grow with the logarithm of the depth; in a circle each pair is met once and the search ends."""
+    first = links.where("up is not null and up <> id").select("id", F.col("up").alias("ancestor"), F.lit(1).alias("level")).distinct()
+    pairs, far, reach = materialize(first, "above"), None, 1
+    while True:
+        far = pairs.where(F.col("level") == reach)
+        upper = pairs.select(F.col("id").alias("mid"), F.col("ancestor").alias("top"), F.col("level").alias("more"))
+        longer = far.select("id", F.col("ancestor").alias("mid")).join(upper, "mid").where("top <> id").groupBy("id", F.col("top").alias("ancestor")).agg((F.min("more") + reach).alias("level"))
+        longer = materialize(longer.join(pairs.select("id", "ancestor"), ["id", "ancestor"], "left_anti"), "above")
+        if not longer.take(1):
+            return pairs
+        pairs, reach = pairs.unionByName(longer), 2 * reach
+
+
+def own_lines(body: Column) -> Column:
+    """The lines of a body that bear no quote mark."""
+    return F.array_join(F.filter(F.split(body, "\n"), lambda x: ~x.rlike(r"^\s{0,3}[>|]")), "\n")
+
+
+def prepared(rows: DataFrame) -> DataFrame:
+    """One row per message: body, sender, frequencies of its lines, and the texts of its ancestors, all the way
+    up: the parent's whole body, and what further ones added to theirs without quote marks."""
     base = rows.select(
         F.col("msg_key").cast("bigint").alias("msg"),
         bare_identifier(F.col("message_id")).alias("id"),
@@ -262,32 +311,30 @@ def prepared(rows: DataFrame, ancestors: int = 3) -> DataFrame:
         F.coalesce(sender_address(F.col("from")), F.lit("")).alias("sender"),
         instant_of(F.col("date")).alias("at"),
         "body",
+        (F.col("cleaned_body") if "cleaned_body" in rows.columns else F.lit(None).cast("string")).alias("cleaned"),
     ).where("msg is not null and body is not null")
-    base = materialize(base.dropDuplicates(["msg"]), "bodies")
+    others = [c for c in base.columns if c != "msg"]
+    base = base.groupBy("msg").agg(F.min(F.struct(*others)).alias("r")).select("msg", "r.*")
+    base = materialize(base, "bodies")
     by_id = base.where("id is not null").groupBy("id").agg(F.min_by(F.struct("up", "body", "at"), "msg").alias("m"))
     by_id = materialize(by_id.select("id", "m.up", "m.at", "m.body"), "by-id")
-    # first only identifiers climb, level by level; then the bodies are fetched once. Parents may go in
-    # a circle: what was sent later is no ancestor, nor is the message itself
-    step = by_id.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("at").alias("_at"))
-    front, levels = base.where("up is not null").select("msg", "id", "at", "up"), []
-    for level in range(ancestors):
-        front = materialize(lookup_join(front, step, "up"), "ancestors")
-        earlier = ~F.coalesce(F.col("_at") >= F.col("at"), F.lit(False)) & ~F.col("up").eqNullSafe(F.col("id"))
-        levels.append(front.where(earlier).select("msg", F.lit(level).alias("level"), F.col("up").alias("id")))
-        front = front.where("_up is not null").select("msg", "id", "at", F.col("_up").alias("up"))
-    found = levels[0]
-    for more in levels[1:]:
-        found = found.unionByName(more)
-    found = lookup_join(materialize(found, "ancestor-ids"), by_id.select("id", "body"), "id")
-    old = found.groupBy("msg").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "body"))), lambda x: x["body"]).alias("old"))
+    # first only identifiers climb; then the texts are fetched once. What was sent later is no ancestor
+    parents = base.where("up is not null and not up <=> id").select("msg", "at", F.col("up").alias("id"))
+    pairs = ancestor_pairs(by_id.select("id", "up"))
+    above = parents.join(pairs, "id").select("msg", "at", F.col("ancestor").alias("id"), "level")
+    found = materialize(parents.withColumn("level", F.lit(0)).select("msg", "at", "id", "level").unionByName(above), "ancestor-ids")
+    texts = by_id.select("id", F.col("at").alias("_at"), "body", own_lines(F.col("body")).alias("own"))
+    found = lookup_join(found, texts, "id").where(~F.coalesce(F.col("_at") >= F.col("at"), F.lit(False)))
+    text = F.when(F.col("level") == 0, F.col("body")).otherwise(F.col("own"))
+    old = found.groupBy("msg").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", text.alias("text")))), lambda x: x["text"]).alias("old"))
     lines = _line_frequencies(base.select("msg", "sender", "body"))
     df = base.join(old, "msg", "left").join(lines, "msg", "left")
-    return df.select("msg", "id", "sender_field", "body", "old", "entries")
+    return df.select("msg", "id", "sender_field", "body", "cleaned", "old", "entries")
 
 
 def _blocks(row) -> tuple[list[list[int]], np.ndarray]:
     frequency = {e["line_no"]: (e["rate"], e["n_sender"]) for e in row.entries} if row.entries is not None else {}
-    return blocks_of(row.body, list(row.old) if row.old is not None else [], row.sender_field or "", frequency)
+    return blocks_of(row.body, list(row.old) if row.old is not None else [], row.sender_field or "", frequency, row.cleaned)
 
 
 def train(spark: SparkSession, ready: DataFrame, rows: DataFrame, sample: int = 3000) -> BoostedTrees:
@@ -299,7 +346,9 @@ def train(spark: SparkSession, ready: DataFrame, rows: DataFrame, sample: int =
     replies = rows.select(bare_identifier(F.col("parent_id")).alias("id"), "body").join(F.broadcast(ids), "id", "left_semi")
     quoted = replies.select("id", F.explode(F.split("body", "\n")).alias("line")).where(F.col("line").rlike(r"^\s?>\s?[^>\s]"))
     quoted = quoted.select("id", F.trim(F.regexp_replace("line", r"^\s?>\s?", "")).alias("line")).distinct()
-    quoted = quoted.groupBy("id").agg(F.slice(F.collect_set("line"), 1, 200).alias("quoted"))
+    # only lines that the mail itself holds count, so a mail gets no more of them than it has lines
+    own = chosen.where("id is not null").select("id", F.explode(F.split("body", "\n")).alias("line")).select("id", F.trim("line").alias("line")).distinct()
+    quoted = own.join(quoted, ["id", "line"], "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("line")).alias("quoted"))
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -1,4 +1,4 @@
-from graphloom.llm.newtext import Ancestors, blocks_of, new_lines, strip_quote
+from graphloom.llm.newtext import Ancestors, ancestor_pairs, blocks_of, new_lines, strip_quote
 
 SCHEMA = "msg_key bigint, message_id string, parent_id string, `from` string, date string, body string, line_no string"
 
@@ -35,5 +35,25 @@ def test_new_lines(spark):
     assert right >= 236 and got.get(900) == {1} and not {901, 902} & set(got)
 
 
+def test_quotation_from_four_levels_up_and_long_signature(spark):
+    rows, said = corpus(), "Somebody once wrote these rather unusual words about reindexing toast chunks."
+    for k in range(6):
+        text = said if k == 0 else f"{['Vacuum', 'Replay', 'Parser', 'Sorting', 'Locking'][k - 1]} number {k} {['takes', 'needs', 'holds', 'wants', 'keeps'][k - 1]} {['two', 'six', 'ten', 'few', 'all'][k - 1]} {['locks', 'pages', 'files', 'slots', 'nodes'][k - 1]} every {['day', 'hour', 'week', 'time', 'night'][k - 1]}."
+        old = "" if k < 5 else said + "\n"
+        sign = "" if k < 5 else "\n\nRegards,\n" + "\n".join(f"Line {c} of Cy" for c in "abcdefghij")
+        rows.append((1000 + k, f"<d{k}@h>", f"<d{k - 1}@h>" if k else None, f"Cy Dee <cy{k}@x>", f"2021-03-0{k + 1}T10:00:00Z", f"{text}\n\n{old}{sign}", "x"))
+    got = {r["line_no"] for r in new_lines(spark, spark.createDataFrame(rows, SCHEMA)).collect() if r["msg_key"] == 1005}
+    assert got == {1}
+
+
+def test_ancestors_of_chains_and_circles(spark):
+    links = [(f"m{k}", f"m{k - 1}" if k else None) for k in range(21)] + [("x", "y"), ("y", "z"), ("z", "x"), ("s", "s"), ("o", "gone")]
+    got = {}
+    for r in ancestor_pairs(spark.createDataFrame(links, "id string, up string")).collect():
+        got.setdefault(r["id"], {})[r["ancestor"]] = r["level"]
+    assert all(got[f"m{k}"] == {f"m{j}": k - j for j in range(k)} for k in range(1, 21))
+    assert got["x"] == {"y": 1, "z": 2} and "s" not in got and got["o"] == {"gone": 1}
+
+
 def test_empty(spark):
     assert new_lines(spark, spark.createDataFrame([], SCHEMA)).count() == 0
