@@ -16,7 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.bayes import Counts, Profiles, letter_grams, word_grams
 from graphloom.session import materialize
+from graphloom.skew import lookup_join
 
 # Fillers standing for an answer that is not there.
 FILLERS = {"", "none", "null", "nil", "nan", "na", "n a", "no answer", "empty", "undefined", "todo", "tbd", "unknown", "answer", "not available", "no response", "blank", "missing"}
@@ -34,7 +36,20 @@ STOPWORDS = {
     "pl": "i w nie na że to się do jest z jak dla po tylko gdy jeśli od są oraz przez",
     "sv": "och det att är inte en ett som för på med av om den när efter till från",
 }
-_LANGUAGES = {k: frozenset(v.split()) for k, v in STOPWORDS.items()}
+# The same for further languages, told apart from those above by words they do not share.
+MORE_STOPWORDS = {
+    "cs": "a v na že se to je není jako pro ale když už nebo jen který která které aby byl při od podle tento tato kde proč musí být jsou tak",
+    "hu": "a az és hogy nem egy van meg csak ez de ha mint vagy már még lehet kell után között mert amikor ezt azt minden nagyon itt volt",
+    "da": "og det er ikke en et som for på med af om den når efter til fra hvis kan skal hvor bliver denne også",
+    "no": "og det er ikke en et som for på med av om den når etter til fra hvis kan skal hvor blir denne også",
+    "fi": "ja on ei se että kun tai myös jos mutta niin kuin ovat tämä sen joka vain voi jälkeen ennen koska",
+    "tr": "ve bir bu için ile de da değil olarak gibi daha ama çok eğer sonra kadar ise olan her neden",
+    "ro": "și în nu este că la cu pe pentru sau din mai dacă când după care sunt această acest fără prin",
+    "uk": "і в не на що це при якщо то як для після тільки коли з по потрібно ми за вже більше ці та або",
+}
+_LANGUAGES = {k: frozenset(v.split()) for k, v in (STOPWORDS | MORE_STOPWORDS).items()}
+_SPEAKS = {w: [k for k, v in _LANGUAGES.items() if w in v] for w in sorted(set().union(*_LANGUAGES.values()))}
+_SCRIPTS = [(name, re.compile(f"[{low}-{high}]")) for name, low, high in (("zh", "一", "鿿"), ("ja", "぀", "ヿ"), ("ko", "가", "힣"), ("ar", "؀", "ۿ"), ("el", "Ͱ", "Ͽ"), ("he", "֐", "׿"))]
 
 # Wordings of refusals and of the polite remarks that follow them.
 REFUSALS = [
@@ -44,7 +59,7 @@ REFUSALS = [
     r"\bI (?:do not|don't|don’t) (?:know|have (?:enough|any|the|access|sufficient))\b",
     r"\bI have (?:no|not enough|insufficient) (?:access|information|knowledge|idea|data|answer|context)\b",
     r"\bI lack\b",
-    r"\b(?:not|im)possible for me\b",
+    r"\b(?:not |im)possible for me\b",
     r"\b(?:outside|beyond|out of) (?:of )?(?:my|what I|the)\b.*\b(?:scope|may|can|abilities|remit|knowledge|capabilities)?\b",
     r"\bno answer (?:can|could|is)\b",
     r"\bnothing I (?:can|could|may)\b",
@@ -52,7 +67,7 @@ REFUSALS = [
     r"\b(?:cannot|can't|can not) be (?:answered|given|provided)\b",
     r"\bunable to (?:answer|help|comment|assist|provide|say)\b",
     r"\b(?:not enough|insufficient) (?:information|context|data)\b",
-    r"(?:désolé|je ne (?:peux|sais|puis) pas|je suis incapable|impossible de répondre|impossible pour moi)",
+    r"(?:désolé|je ne (?:peux|sais|puis) pas|je n['’]ai pas (?:accès|d['’]informations?|connaissance)|je suis incapable|impossible de répondre|impossible pour moi)",
     r"(?:kann ich (?:leider )?(?:nicht|nichts|keine)|ich (?:kann|weiß|weiss|darf) .*(?:nicht|nichts|keine)|leider (?:nicht|nichts|keine)|tut mir leid|weiß ich (?:leider )?nicht)",
     r"(?:lo siento|no puedo|no sé|no me es posible|no tengo (?:información|datos))",
     r"(?:desculpe|não posso|não sei|lamento|não consigo|não tenho (?:informações|dados))",
@@ -80,10 +95,11 @@ def is_empty(answer: str | None) -> bool:
 
 
 def is_copy(question: str | None, answer: str | None) -> bool:
-    """The words of the answer are nearly all the question's and cover it nearly whole."""
+    """The words of the answer are nearly all the question's and cover it nearly whole; said twice, it is a copy too."""
     q, a = Counter(_WORD.findall((question or "").lower())), Counter(_WORD.findall((answer or "").lower()))
     common, nq, na = sum((q & a).values()), sum(q.values()), sum(a.values())
-    return na > 0 and nq > 0 and common >= 0.8 * na and common >= 0.7 * nq
+    both = len(q.keys() & a.keys())
+    return na > 0 and nq > 0 and ((common >= 0.8 * na and common >= 0.7 * nq) or (both >= 0.95 * len(a) and both >= 0.7 * len(q)))
 
 
 def sentences(text: str) -> list[str]:
@@ -99,24 +115,36 @@ def is_refusal(answer: str | None) -> bool:
     return any(declines) and all(d or _REMARK.search(s) for d, s in zip(declines, parts))
 
 
+def plain_words(text: str | None) -> list[str]:
+    """The words in lower case without code, statements, paths and identifiers, which are of no language."""
+    t = text or ""
+    if "```" in t:
+        t = re.sub(r"```.*?(?:```|$)", " ", t, flags=re.S)
+    t = "\n".join(line for line in t.split("\n") if not _SQL.match(line))
+    return _WORD.findall(re.sub(r"\S*[_/\d]\S*", " ", t).lower())
+
+
 def language_of(text: str | None) -> str | None:
     """The language by its frequent words and script, or None where too little shows it. Code, paths
     and identifiers are no evidence."""
-    t = re.sub(r"```.*?(?:```|$)", " ", text or "", flags=re.S)
-    t = "\n".join(line for line in t.split("\n") if not _SQL.match(line))
-    t = re.sub(r"\S*[_/\d]\S*", " ", t).lower()
-    words = _WORD.findall(t)
-    letters = sum(len(w) for w in words)
+    return language_of_words(plain_words(text))
+
+
+def language_of_words(words: list[str]) -> str | None:
+    letters = sum(map(len, words))
     if not letters:
         return None
-    for name, low, high in (("zh", "一", "鿿"), ("ja", "぀", "ヿ"), ("ko", "가", "힣"), ("ar", "؀", "ۿ"), ("el", "Ͱ", "Ͽ"), ("he", "֐", "׿")):
-        if sum(low <= c <= high for c in t) > 0.3 * letters:
-            return name
-    counts = {k: sum(w in v for w in words) for k, v in _LANGUAGES.items()}
-    best = max(counts, key=counts.get)
-    if counts[best] < max(2, 0.08 * len(words)) or sorted(counts.values())[-2] >= 0.9 * counts[best]:
+    joined = "".join(words)
+    if not joined.isascii():
+        for name, signs in _SCRIPTS:
+            if len(signs.findall(joined)) > 0.3 * letters:
+                return name
+    counts: Counter = Counter(k for w in words if w in _SPEAKS for k in _SPEAKS[w])
+    if not counts:
         return None
-    return best
+    best, most = max(sorted(counts.items()), key=lambda x: x[1])
+    second = max((n for k, n in counts.items() if k != best), default=0)
+    return None if most < max(2, 0.08 * len(words)) or second >= 0.9 * most else best
 
 
 def is_unfinished(answer: str | None) -> bool:
@@ -162,19 +190,33 @@ def without_remarks(answer: str | None) -> str:
 def shortened(answers: DataFrame) -> DataFrame:
     """Distinct answers that are a proper beginning of another one.
 
-    The texts are range-partitioned and sorted; if any text begins with x, the next one does. Only
-    the first text of each partition (at most one a partition) is passed on to the partition before.
+    The texts are range-partitioned and sorted; if any text begins with x, the next one does. Neighbours are compared
+    while the sorted rows stream by; of each partition only the first text is passed on to the partition before.
     """
     distinct = answers.select("answer").distinct()
-    ranged = materialize(distinct.repartitionByRange("answer").sortWithinPartitions("answer").withColumn("part", F.spark_partition_id()), "sorted")
-    firsts = ranged.groupBy("part").agg(F.min("answer").alias("first"))
+    ranged = distinct.repartitionByRange("answer").sortWithinPartitions("answer").withColumn("part", F.spark_partition_id())
+
+    def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before, part, first = None, -1, None
+        for pdf in batches:
+            out = []
+            for text in pdf["answer"]:
+                if first is None:
+                    first, part = text, int(pdf["part"].iloc[0])
+                elif text.startswith(before):
+                    out.append((before, "short"))
+                before = text
+            yield pd.DataFrame([(a, k, part) for a, k in out], columns=["answer", "kind", "part"])
+        if first is not None:
+            yield pd.DataFrame([(first, "first", part), (before, "last", part)], columns=["answer", "kind", "part"])
+
+    marked = materialize(ranged.mapInPandas(neighbours, "answer string, kind string, part int"), "neighbours")
     from pyspark.sql import Window
 
-    following = firsts.select((F.lag("part").over(Window.orderBy("part"))).alias("p"), F.col("first").alias("edge"))
-    within = Window.partitionBy("part").orderBy("answer")
-    with_next = ranged.withColumn("next", F.lead("answer").over(within)).join(following, F.col("part") == F.col("p"), "left")
-    with_next = with_next.withColumn("next", F.coalesce("next", "edge"))
-    return with_next.where(F.expr("next is not null and startswith(next, answer)")).select("answer")
+    # two rows a partition: the last text of one against the first of the next
+    edges = marked.where("kind <> 'short'").withColumn("o", F.when(F.col("kind") == "first", 0).otherwise(1))
+    edges = edges.withColumn("next", F.lead("answer").over(Window.orderBy("part", "o"))).where("kind = 'last'")
+    return marked.where("kind = 'short'").select("answer").unionByName(edges.where(F.expr("next is not null and startswith(next, answer)")).select("answer"))
 
 
 def length_spikes(lengths: DataFrame, factor: float = 8.0, least: int = 20) -> DataFrame:
@@ -189,49 +231,108 @@ def length_spikes(lengths: DataFrame, factor: float = 8.0, least: int = 20) -> D
     return counts.join(around, counts["n"] == around["at"], "left").where((F.col("m") >= least) & (F.col("m") >= factor * F.coalesce("usual", F.lit(0.0)))).select("n")
 
 
-def defective_pairs(pairs: DataFrame) -> DataFrame:
+class Judge:
+    """The rules of one pair, with the profiles that words and phrases alone do not settle: of the languages (runs of
+    letters) and of refusing and answering texts (words and pairs of words)."""
+
+    def __init__(self, languages: Profiles, refusals: Profiles):
+        self.languages, self.refusals = languages, refusals
+
+    def language(self, words: list[str]) -> str | None:
+        if (known := language_of_words(words)) is not None:
+            return known
+        grams = letter_grams(words)
+        ranked = sorted(((v, k) for k, v in self.languages.scores(grams).items()), reverse=True) if len(grams) >= 30 else []
+        if not ranked or self.languages.foreign(ranked[0][1], grams):
+            return None
+        return ranked[0][1] if len(ranked) == 1 or ranked[0][0] - ranked[1][0] > 0.15 else None
+
+    def refuses(self, question: str | None, answer: str) -> bool:
+        """Like the refusals known by their wording, and hardly on the matter asked for."""
+        words = _WORD.findall(answer.lower())
+        if not 4 <= len(words) <= 400:
+            return False
+        p = self.refusals.scores(word_grams(words))
+        if len(p) < 2 or (p["refusal"] - p["answer"]) * len(words) < 12:
+            return False
+        asked = {w for w in _WORD.findall((question or "").lower()) if len(w) > 4}
+        return not asked or sum(w in asked for w in set(words)) <= 0.25 * len(set(words))
+
+    def found(self, question: str | None, answer: str | None) -> str:
+        if is_empty(answer):
+            return "empty"
+        if is_copy(question, answer):
+            return "copy"
+        if is_refusal(answer) or self.refuses(question, answer):
+            return "refusal"
+        words = plain_words(answer)
+        asked, told = self.language(plain_words(question)), self.language(words)
+        if asked and (told and told != asked or told is None and self.languages.foreign(asked, letter_grams(words))):
+            return "other_language"
+        return "unfinished" if is_unfinished(answer) else ""
+
+
+def train(pairs: DataFrame, sample: int = 10_000) -> Judge:
+    """Profiles from at most ``sample`` pairs (those of lowest hash of the key), labelled by frequent words and by the
+    wordings of refusals. The executors count; only counts by slot come to the driver."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = Counts()
+        for pdf in batches:
+            for q, a in zip(pdf["question"], pdf["answer"]):
+                for text in (q, a):
+                    words = plain_words(text)
+                    if (language := language_of_words(words)) is not None:
+                        counts.add("l " + language, letter_grams(words))
+                if a and not is_empty(a) and not is_copy(q, a):
+                    counts.add("r refusal" if is_refusal(a) else "r answer", word_grams(_WORD.findall(a.lower())))
+        yield counts.frame()
+
+    chosen = pairs.select("ragas_key", "question", "answer").orderBy(F.xxhash64("ragas_key"), "ragas_key").limit(sample)
+    found = chosen.repartition(pairs.sparkSession.sparkContext.defaultParallelism).mapInPandas(count, "label string, slot bigint, n bigint").groupBy("label", "slot").agg(F.sum("n").alias("n")).toPandas()
+    part = lambda k: found[found["label"].str.startswith(k)].assign(label=lambda x: x["label"].str.slice(2))
+    return Judge(Profiles(part("l "), 20_000), Profiles(part("r "), 2_000))
+
+
+def defective_pairs(pairs: DataFrame, sample: int = 10_000) -> DataFrame:
     """(ragas_key, defect) of every defective pair, one defect each: empty, copy, refusal,
     other_language or truncated, in this order of precedence.
 
-    A null question is no evidence for copy or language; a null answer is empty. Repeated rows give
-    one row. An empty table gives an empty result; other columns are not read. Whole texts are read,
+    A null question is no evidence for copy or language; a null answer is empty. Of rows repeated with one key
+    the smallest counts. An empty table gives an empty result; other columns are not read. Whole texts are read,
     however long.
     """
+    rows = pairs.where("ragas_key is not null").groupBy("ragas_key").agg(F.min(F.struct("question", "answer")).alias("r")).select("ragas_key", "r.*")
+    rows = materialize(rows, "pairs")
+    model = pairs.sparkSession.sparkContext.broadcast(train(rows, sample))
 
     @F.pandas_udf("found string, bare string, plain boolean")
     def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for qs, answers in batches:
             out = []
             for q, a in zip(qs, answers):
-                if is_empty(a):
-                    found = "empty"
-                elif is_copy(q, a):
-                    found = "copy"
-                elif is_refusal(a):
-                    found = "refusal"
-                else:
-                    lq, la = language_of(q), language_of(a)
-                    found = "other_language" if lq and la and lq != la else "unfinished" if is_unfinished(a) else ""
                 bare = without_remarks(a)
-                out.append((found, bare, bare == (a or "").rstrip()))
+                out.append((model.value.found(q, a), bare, bare == (a or "").rstrip()))
             yield pd.DataFrame(out, columns=["found", "bare", "plain"])
 
-    judged = materialize(
-        pairs.select("ragas_key", "question", "answer").dropDuplicates(["ragas_key"]).withColumn("j", judge("question", "answer")).select("ragas_key", "question", "answer", "j.*"), "judged"
-    )
+    spread = rows.repartition(pairs.sparkSession.sparkContext.defaultParallelism)
+    judged = materialize(spread.withColumn("j", judge("question", "answer")).select("ragas_key", "question", "answer", "j.*"), "judged")
     rest = judged.where(F.col("found").isin("", "unfinished") & F.col("answer").isNotNull())
     # a short sentence may answer one question in whole and only begin the answer of another, so below
     # 40 characters the longer version must belong to the same question
     alone = F.when(F.length("bare") >= 40, F.concat(F.lit("a\0"), "bare"))
     asked = F.concat(F.lit("q\0"), "question", F.lit("\0"), "bare")
     keys = rest.select("ragas_key", "plain", F.explode(F.array_compact(F.array(alone, asked))).alias("answer"))
-    cut = keys.where("plain").join(shortened(keys), "answer", "left_semi").select("ragas_key")
+    # what is joined back is keyed by a hash of the text, hot stock answers by their own broadcast rows
+    hashed = lambda df: df.withColumn("h", F.unhex(F.sha2("answer", 256)))
+    short = hashed(shortened(keys)).select("h").distinct().withColumn("short", F.lit(True))
+    cut = lookup_join(hashed(keys.where("plain")).select("ragas_key", "h"), short, "h").select("ragas_key")
     # equal answers count once, so that a stock answer is no limit
     ends = rest.select("answer", "found", F.length("answer").alias("n")).distinct()
     closed = F.col("answer").rlike(r"(?:[.!?;。！？][*_\"'”“»`)\]]*|```)\s*$")
     at_limit = rest.withColumn("n", F.length("answer"))
-    by_mark = at_limit.where(~closed).join(length_spikes(ends.select("n")), "n", "left_semi").select("ragas_key")
-    closed_too = at_limit.where("found = ''").join(length_spikes(ends.where("found = ''").select("n")), "n", "left_semi").select("ragas_key")
+    by_mark = lookup_join(at_limit.where(~closed).select("ragas_key", "n"), length_spikes(ends.select("n")), "n").select("ragas_key")
+    closed_too = lookup_join(at_limit.where("found = ''").select("ragas_key", "n"), length_spikes(ends.where("found = ''").select("n")), "n").select("ragas_key")
     signs = cut.unionByName(by_mark).unionByName(closed_too).distinct().withColumn("sign", F.lit(True))
     named = F.when(F.col("found") == "unfinished", "truncated").when((F.col("found") == "") & F.col("sign"), "truncated").when(F.col("found") != "", F.col("found"))
     return judged.join(signs, "ragas_key", "left").select(F.col("ragas_key").cast("bigint").alias("ragas_key"), named.alias("defect")).where("defect is not null")

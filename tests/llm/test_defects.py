@@ -32,7 +32,7 @@ def test_unfinished(a, cut):
 
 
 def test_copy_and_language():
-    assert is_copy(Q, "You asked: " + Q.upper()) and not is_copy(Q, Q + " " + GOOD) and not is_copy(None, Q) and not is_copy(Q, None)
+    assert is_copy(Q, Q + "\n" + Q) and is_copy(Q, "You asked: " + Q.upper()) and not is_copy(Q, Q + " " + GOOD) and not is_copy(None, Q) and not is_copy(Q, None)
     assert language_of(Q) == "en" and language_of("Der Fehler entsteht, weil die Sperre zu früh freigegeben wird, und das ist nicht gut.") == "de" and language_of("x_y 12") is None and language_of(None) is None
 
 
@@ -68,3 +68,31 @@ def test_length_limit_whatever_the_last_mark(spark):
     stock = [(200 + k, Q, sentence(999, 220, ".")) for k in range(30)]
     df = spark.createDataFrame(at_limit + around + stock, "ragas_key bigint, question string, answer string")
     assert sorted(tuple(r) for r in defective_pairs(df).collect()) == [(k, "truncated") for k in range(30)]
+
+
+def test_profiles_tell_languages_and_refusals_in_other_words():
+    import pandas as pd
+
+    from graphloom.llm.bayes import Counts, Profiles, letter_grams, word_grams
+    from graphloom.llm.defects import Judge, plain_words
+
+    english = ["the planner keeps a cache of pages and fills it when the first query of a session runs", "every backend has to hold the lock before it may write to the shared buffer of the table", "old entries are removed by the background process once nobody can see them any more"]
+    german = ["der Planer hält einen Vorrat an Seiten und füllt ihn sobald die erste Abfrage der Sitzung läuft", "jeder Prozess muss die Sperre halten bevor er in den gemeinsamen Puffer der Tabelle schreiben darf", "alte Einträge werden vom Hintergrundprozess entfernt wenn niemand sie mehr sehen kann"]
+    counts = Counts()
+    for label, texts in (("en", english), ("de", german)):
+        for t in texts * 200:
+            counts.add(label, letter_grams(plain_words(t)))
+    languages = Profiles(counts.frame(), 100)
+    counts = Counts()
+    for t in ["i am afraid that this lies beyond what i may tell you about the matter here", "that lies beyond what i may tell you today please look elsewhere for help"] * 20:
+        counts.add("refusal", word_grams(t.split()))
+    for t in english * 20:
+        counts.add("answer", word_grams(t.split()))
+    judge = Judge(languages, Profiles(counts.frame(), 100))
+    assert judge.language(plain_words("removed entries fill every backend once shared buffer pages keep background")) == "en"
+    assert judge.language(plain_words("Hintergrundprozess Einträge Sperre Abfrage schreiben gemeinsamen Puffer halten")) == "de"
+    assert languages.foreign("en", letter_grams(plain_words("szükséges könyvtárak telepítése közben váratlan hibák történhetnek, ezért gyakrabban mentsük munkáinkat biztonságosabb tárolóeszközökre")))
+    assert judge.refuses("Which lock guards the planner?", "Sadly that lies beyond what i may tell you here")
+    assert not judge.refuses("Which lock guards the planner?", "the planner keeps a cache of pages and fills it when asked")
+    assert Profiles(pd.DataFrame({"label": [], "slot": [], "n": []}), 10).scores(["x"]) == {}
+    assert is_refusal("It is not possible for me to provide details on the merge join.") and is_refusal("Je n'ai pas accès à lmgr_copy_latch et ne peux donc rien en dire.")
