@@ -1,10 +1,10 @@
-"""Near-duplicate records: improved consistent weighted sampling over TF-IDF words, banded.
+"""Near-duplicate records: improved consistent weighted sampling over TF-IDF shingles, banded.
 
-Document frequencies are counted over all records into a table of fixed size (words share a slot by
+Document frequencies are counted over all records into a table of bounded size (shingles share a slot by
 hash), so the weights can be handed to every task whatever the vocabulary. A record is sampled K
 times; two records agree in a sample with the probability of their weighted Jaccard similarity.
-Samples are joined in bands; a sketch of one bit of further samples meets with each pair and
-drops most chance meetings before the texts are compared. Records with the same words are one class:
+Samples are joined in bands; a sketch of one bit of each sample meets with each pair and drops most
+chance meetings before the texts are compared. Records with the same shingles, as often, are one class:
 only one representative of a class is sampled, compared and joined.
 """
 
@@ -15,14 +15,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.words import words_column
 from graphloom.session import materialize
+from graphloom.skew import lookup_join
 
-#: Slots of the document-frequency table; fixes the size of what is broadcast (1 MB).
-FREQUENCY_SLOTS = 1 << 18
+#: Bounds of the document-frequency table, which is broadcast: 1 MB to 16 MB.
+LEAST_SLOTS, MOST_SLOTS = 1 << 18, 1 << 22
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -33,12 +34,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _uniform(words: np.ndarray, samples: np.ndarray, stream: int) -> np.ndarray:
-    """Uniform numbers in (0, 1), a function of word, sample and stream only."""
+def _uniforms(words: np.ndarray, samples: np.ndarray, stream: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two tables (words x samples) of uniform numbers in (0, 1], functions of word, sample and stream only: the
+    halves of one 64-bit hash."""
     with np.errstate(over="ignore"):
         seed = _mix(samples.astype("uint64") * np.uint64(0x9E3779B97F4A7C15) + np.uint64(stream * 0x632BE59B))
         x = _mix(words[:, None] + seed[None, :])
-    return ((x >> np.uint64(11)).astype("float64") + 0.5) / float(1 << 53)
+    scale = np.float32(2.0**-32)
+    return ((x >> np.uint64(32)).astype("float32") + np.float32(0.5)) * scale, ((x & np.uint64(0xFFFFFFFF)).astype("float32") + np.float32(0.5)) * scale
 
 
 class Sampler:
@@ -57,9 +60,10 @@ class Sampler:
         step = max(1, 4_000_000 // max(1, len(h)))
         for a in range(0, len(self.samples), step):
             s = self.samples[a : a + step]
-            r = -np.log(_uniform(h, s, 1) * _uniform(h, s, 2))
-            c = -np.log(_uniform(h, s, 3) * _uniform(h, s, 4))
-            t = np.floor(np.log(w)[:, None] / r + (b := _uniform(h, s, 5)))
+            (u1, u2), (u3, u4), (b, _) = (_uniforms(h, s, k) for k in (1, 2, 3))
+            r = np.maximum(-np.log(u1 * u2), np.float32(1e-6))
+            c = np.maximum(-np.log(u3 * u4), np.float32(1e-6))
+            t = np.floor(np.log(w).astype("float32")[:, None] / r + b)
             ln_a = np.log(c) - r * (t - b) - r
             with np.errstate(over="ignore"):
                 code = _mix(h[:, None] ^ (t.astype("int64").astype("uint64") * np.uint64(0x9E3779B97F4A7C15)))
@@ -73,60 +77,95 @@ class Sampler:
         return out
 
 
-def document_frequencies(classes: DataFrame) -> tuple[np.ndarray, int]:
-    """Counts by word slot and the number of records, over all records (FREQUENCY_SLOTS rows at most)."""
+def shingles_column(text: Column, size: int) -> Column:
+    """The runs of ``size`` words of a text, sorted, repeats kept; a shorter text is one run, one without words none."""
+    words = words_column(text)
+    if size == 1:
+        return F.array_sort(words)
+
+    def runs(ws: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(ws) - size + 1, F.lit(1)))
+        return F.when(F.size(ws) > 0, F.transform(starts, lambda i: F.array_join(F.slice(ws, i, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_sort(F.flatten(F.transform(F.array(words), runs)))
+
+
+def frequency_slots(classes: DataFrame) -> int:
+    """Slots of the frequency table: four for each different shingle, a power of two within the two bounds. Beyond the
+    upper one shingles share slots, which blurs their weights and loses nothing."""
+    different = classes.select(F.explode("words").alias("w")).agg(F.approx_count_distinct("w")).first()[0] or 1
+    return min(MOST_SLOTS, max(LEAST_SLOTS, 1 << int(np.ceil(np.log2(4 * different)))))
+
+
+def document_frequencies(classes: DataFrame, slots: int) -> tuple[np.ndarray, int]:
+    """Counts by slot and the number of records, over all records (``slots`` rows at most)."""
     rows = (
-        classes.select("n", F.explode("words").alias("w"))
-        .groupBy((F.xxhash64("w").bitwiseAND(F.lit(FREQUENCY_SLOTS - 1))).cast("int").alias("slot"))
+        classes.select("n", F.explode(F.array_distinct("words")).alias("w"))
+        .groupBy((F.xxhash64("w").bitwiseAND(F.lit(slots - 1))).cast("int").alias("slot"))
         .agg(F.sum("n").alias("n"))
         .toPandas()
     )
-    counts = np.zeros(FREQUENCY_SLOTS, "int64")
+    counts = np.zeros(slots, "int64")
     counts[rows["slot"].to_numpy("int64")] = rows["n"].to_numpy("int64")
     total = classes.agg(F.sum("n")).first()[0] or 0
     return counts, int(total)
 
 
+def entries_of(shingles: pd.Series, idf: np.ndarray, memo: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(record, hash, weight) of every different shingle of each record: (1 + ln tf) times idf. Equal shingles of a
+    record lie next to each other, as the arrays are sorted."""
+    flat = [w for ws in shingles for w in ws]
+    for w in set(flat) - memo.keys():
+        memo[w] = xxhash.xxh64_intdigest(w, seed=42)
+    h = np.array([memo[w] for w in flat], "uint64")
+    at = np.repeat(np.arange(len(shingles)), [len(ws) for ws in shingles])
+    first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (at[1:] != at[:-1])]) if len(h) else np.empty(0, int)
+    tf = np.diff(np.r_[first, len(h)])
+    h, at = h[first], at[first]
+    return at, h, np.round((1 + np.log(np.maximum(tf, 1))) * idf[(h & np.uint64(len(idf) - 1)).astype("int64")], 4)
+
+
 def similar_pairs(
     spark: SparkSession,
     records: DataFrame,
     key: str,
     text: str,
-    similarity: float = 0.5,
+    similarity: float = 0.8,
+    shingle: int = 5,
     rows: int = 5,
     bands: int = 80,
-    sketch_bits: int = 256,
     bucket_block: int = 500,
 ) -> tuple[DataFrame, DataFrame]:
-    """(classes, links): classes(class, key, words) has every record with words and its class (the
-    smallest key with the same words and counts ignored), links(a, b, weighted) pairs of classes
-    a < b whose weighted Jaccard similarity reaches ``similarity``.
+    """(classes, links): classes(class, key) has every record with words and its class (the smallest key with
+    the same shingles, as often), links(a, b, weighted, jaccard) the pairs of classes a < b whose weighted Jaccard
+    similarity over TF-IDF shingles of ``shingle`` words reaches ``similarity``; jaccard is that of the plain sets.
 
-    Records whose text is null or holds no word are in no class. Repeated rows of one key count
-    once. A band bucket of many classes is joined in blocks of ``bucket_block`` over several tasks;
-    none is dropped.
+    A pair of similarity s meets in some band with probability 1 - (1 - s^rows)^bands. Records whose text is null or
+    holds no word are in no class. Repeated rows of one key count once. A band bucket of many classes is joined in
+    blocks of ``bucket_block`` over several tasks; none is dropped.
     """
-    distinct = records.select(F.col(key).cast("bigint").alias("key"), F.array_sort(F.array_distinct(words_column(F.col(text)))).alias("words"))
-    members = materialize(distinct.where((F.size("words") > 0) & F.col("key").isNotNull()).withColumn("set", F.unhex(F.sha2(F.array_join("words", " "), 256))), "members")
+    distinct = records.select(F.col(key).cast("bigint").alias("key"), shingles_column(F.col(text), shingle).alias("words"))
+    members = materialize(distinct.where((F.size("words") > 0) & F.col("key").isNotNull()).withColumn("set", F.unhex(F.sha2(F.array_join("words", "\0"), 256))), "members")
     classes = members.groupBy("set").agg(F.min("key").alias("class"), F.countDistinct("key").alias("n"), F.first("words").alias("words"))
     classes = materialize(classes, "classes")
-    counts, total = document_frequencies(classes)
+    counts, total = document_frequencies(classes, frequency_slots(classes))
     idf = spark.sparkContext.broadcast((np.log((1 + total) / (1.0 + counts)) + 1.0).astype("float32"))
     samples = rows * bands
+    bits = samples // 64 * 64
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sampler, weights_of = Sampler(samples + sketch_bits), idf.value
+        sampler, memo = Sampler(samples), {}
         for whole in batches:
-            for at in range(0, len(whole), 2000):
-                pdf = whole.iloc[at : at + 2000]
-                sizes = pdf["words"].map(len).to_numpy()
-                h = np.array([xxhash.xxh64_intdigest(w, seed=42) for ws in pdf["words"] for w in ws], "uint64")
-                weights = weights_of[(h & np.uint64(FREQUENCY_SLOTS - 1)).astype("int64")].astype("float64")
-                drawn = sampler.draw(h, weights, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-                bits = (drawn[:, samples:] >> np.uint64(17)) & np.uint64(1)
-                sketch = np.packbits(bits.astype("uint8"), axis=1)
+            for begin in range(0, len(whole), 4000):
+                pdf = whole.iloc[begin : begin + 4000]
+                if len(memo) > 1_000_000:
+                    memo.clear()
+                at, h, weights = entries_of(pdf["words"], idf.value, memo)
+                drawn = sampler.draw(h, weights, np.searchsorted(at, np.arange(len(pdf))))
+                # one bit of each sample makes the sketch, so it costs no draws of its own
+                sketch = np.packbits(((drawn[:, :bits] >> np.uint64(17)) & np.uint64(1)).astype("uint8"), axis=1)
                 with np.errstate(over="ignore"):
-                    acc = np.zeros((len(pdf), bands), "uint64")
+                    acc = _mix(np.arange(1, bands + 1, dtype="uint64"))[None, :].repeat(len(pdf), 0)
                     for i in range(rows):
                         acc = _mix(acc * np.uint64(31) + drawn[:, i:samples:rows])
                 yield pd.DataFrame({"class": pdf["class"].to_numpy(), "bands": list(acc.view("int64")), "sketch": list(sketch.copy().view("int64"))})
@@ -135,52 +174,60 @@ def similar_pairs(
     spread = classes.select("class", "words").repartition(spark.sparkContext.defaultParallelism * 2)
     sampled = spread.mapInPandas(sample, "class bigint, bands array<bigint>, sketch array<bigint>")
     sampled = materialize(sampled, "bands")
-    banded = sampled.select("class", F.posexplode("bands").alias("band", "bucket"))
+    # the band is part of the bucket's number
+    banded = sampled.select("class", F.explode("bands").alias("bucket"))
     # which buckets are shared: counted with map-side combination, so hot buckets stay small
-    shared = banded.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     shared = shared.withColumn("blocks", F.ceil(F.col("m") / bucket_block).cast("int")).drop("m")
-    rows_in = materialize(banded.join(shared, ["band", "bucket"]).join(sampled.select("class", "sketch"), "class"), "shared")
+    rows_in = materialize(banded.join(shared, "bucket").join(sampled.select("class", "sketch"), "class"), "shared")
     block = F.pmod(F.xxhash64("class"), F.col("blocks").cast("bigint")).cast("int")
-    left = rows_in.select("band", "bucket", F.col("class").alias("a"), F.col("sketch").alias("sa"), block.alias("block"))
-    right = rows_in.select("band", "bucket", F.col("class").alias("b"), F.col("sketch").alias("sb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    left = rows_in.select("bucket", F.col("class").alias("a"), F.col("sketch").alias("sa"), block.alias("block"))
+    right = rows_in.select("bucket", F.col("class").alias("b"), F.col("sketch").alias("sb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     # agreement of 1-bit samples is (1 + similarity) / 2 on average; 3.7 deviations below it are let through
     p = (1 + similarity) / 2
-    differing = int(sketch_bits * (1 - p) + 3.7 * (sketch_bits * p * (1 - p)) ** 0.5)
-    apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(sketch_bits // 64)), F.lit(0))
-    candidates = left.join(right, ["band", "bucket", "block"]).where((F.col("a") < F.col("b")) & (apart <= differing)).select("a", "b").distinct()
+    differing = int(bits * (1 - p) + 3.7 * (bits * p * (1 - p)) ** 0.5)
+    apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(bits // 64)), F.lit(0))
+    candidates = left.join(right, ["bucket", "block"]).where((F.col("a") < F.col("b")) & (apart <= differing)).select("a", "b").distinct()
     words_a = classes.select(F.col("class").alias("a"), F.col("words").alias("wa"))
     words_b = classes.select(F.col("class").alias("b"), F.col("words").alias("wb"))
 
     @F.pandas_udf("double")
     def weighted(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        # the sets of all pairs at once: entries (pair, word) of both sides, those met twice are common
-        table, memo = idf.value, {}
-        sides = []
-        for side in (xs, ys):
-            flat = [w for ws in side for w in ws]
-            for w in set(flat) - memo.keys():
-                memo[w] = xxhash.xxh64_intdigest(w, seed=42)
-            h = np.array([memo[w] for w in flat], "uint64")
-            sides.append((np.repeat(np.arange(len(side)), [len(ws) for ws in side]), h, table[(h & np.uint64(FREQUENCY_SLOTS - 1)).astype("int64")].astype("float64")))
-        sums = sum(np.bincount(at, w, len(xs)) for at, _, w in sides)
-        at, h, w = (np.concatenate(c) for c in zip(*sides))
+        # the sets of all pairs at once: entries (pair, shingle) of both sides, those met twice are common
+        memo: dict[str, int] = {}
+        at, h, w = (np.concatenate(c) for c in zip(entries_of(xs, idf.value, memo), entries_of(ys, idf.value, memo)))
+        sums = np.bincount(at, w, len(xs))
         order = np.lexsort((h, at))
-        twice = np.flatnonzero((at[order][1:] == at[order][:-1]) & (h[order][1:] == h[order][:-1]))
-        both = np.bincount(at[order][twice], w[order][twice], len(xs))
+        at, h, w = at[order], h[order], w[order]
+        twice = np.flatnonzero((at[1:] == at[:-1]) & (h[1:] == h[:-1]))
+        both = np.bincount(at[twice], np.minimum(w[twice], w[twice + 1]), len(xs))
         return pd.Series(both / np.maximum(sums - both, 1e-12))
 
     compared = candidates.join(words_a, "a").join(words_b, "b").withColumn("weighted", weighted("wa", "wb"))
-    common = F.size(F.array_intersect("wa", "wb"))
-    links = compared.where(F.col("weighted") >= similarity).select("a", "b", "weighted", (common / (F.size("wa") + F.size("wb") - common)).alias("jaccard"))
+    common, size = F.size(F.array_intersect("wa", "wb")), lambda c: F.size(F.array_distinct(c))
+    links = compared.where(F.col("weighted") >= similarity).select("a", "b", "weighted", (common / (size("wa") + size("wb") - common)).alias("jaccard"))
     return members.join(classes.select("set", "class"), "set").select("class", "key").distinct(), materialize(links, "links")
 
 
 def alike_questions(spark: SparkSession, records: DataFrame, jaccard: float = 0.7) -> DataFrame:
     """(qa_key_a, qa_key_b), a < b: records whose distinct words have a Jaccard similarity of at
-    least ``jaccard``; links of classes by sampling, checked exactly, spread over their members."""
-    members, links = similar_pairs(spark, records, "qa_key", "question")
+    least ``jaccard``; links of classes by sampling over single words, checked exactly, spread over their members.
+    Rare words weigh more than common ones, so the weighted similarity asked of the samples lies well below."""
+    members, links = word_links(spark, records)
     links = links.where(F.col("jaccard") >= jaccard - 1e-12).select("a", "b")
     every = links.unionByName(members.select(F.col("class").alias("a"), F.col("class").alias("b")).distinct())
     ma, mb = members.select(F.col("class").alias("a"), F.col("key").alias("x")), members.select(F.col("class").alias("b"), F.col("key").alias("y"))
     pairs = every.join(ma, "a").join(mb, "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
     return pairs.select(F.least("x", "y").alias("qa_key_a"), F.greatest("x", "y").alias("qa_key_b"))
+
+
+def word_links(spark: SparkSession, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes and links of questions over single words, as their definition counts distinct words."""
+    return similar_pairs(spark, records, "qa_key", "question", similarity=0.4, shingle=1)
+
+
+def class_links(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, class, links): one row per record with its class and how many other classes that one is linked to."""
+    ends = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class")))
+    counts = ends.groupBy("class").agg(F.count(F.lit(1)).alias("links"))
+    return lookup_join(members, counts, "class", "left").select("key", "class", F.coalesce("links", F.lit(0)).alias("links"))

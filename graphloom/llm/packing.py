@@ -2,8 +2,8 @@
 
 Sizes are tokens of a public tokenizer. Documents are dealt to shards of bounded size by hash; each
 shard is packed on its own, which costs at most one window that is not full a shard. In a shard the
-windows are completed one after the other around the largest document left: fillings that another
-one dominates are left out, a branch ends when its waste exceeds what any better solution may waste,
+windows are completed one after the other around the largest document left: all fillings that no other
+one dominates are tried in turn, a branch ends when its waste exceeds what any better solution may waste,
 and best-fit decreasing gives the first solution to beat. A document above the capacity is cut into
 full windows and a rest; no other is cut.
 """
@@ -95,129 +95,185 @@ class _Left:
     def __init__(self, sizes: list[int]):
         self.count = Counter(sizes)
         self.distinct = sorted(self.count)
-
-    def take(self, s: int) -> None:
-        self.count[s] -= 1
-        if not self.count[s]:
-            del self.distinct[bisect.bisect_left(self.distinct, s)]
-            del self.count[s]
-
-    def give(self, s: int) -> None:
-        if s not in self.count:
-            bisect.insort(self.distinct, s)
-        self.count[s] += 1
-
-
-def completions(left: _Left, room: int, most_waste: int, keep: int, nodes: int) -> list[tuple[int, list[int]]]:
-    """Undominated fillings of ``room``, least waste first; at most ``keep`` of the best met within
-    ``nodes`` steps. A filling is dominated when an item left fits into its waste, or a larger item
-    left could stand in for one of its own."""
-    found: list[tuple[int, list[int]]] = []
-    used: Counter = Counter()
-    budget = nodes
-
-    def dominated(chosen: list[int], waste: int) -> bool:
-        for y in [0, *chosen]:
-            at = bisect.bisect_right(left.distinct, y + waste) - 1
-            while at >= 0 and left.distinct[at] > y:
-                if left.count[left.distinct[at]] > used[left.distinct[at]]:
-                    return True
-                at -= 1
-        return False
-
-    def extend(room: int, top: int, chosen: list[int]) -> bool:
-        """True when a perfect filling ends the search."""
-        nonlocal budget
-        at = bisect.bisect_right(left.distinct, min(room, top)) - 1
-        if room == 0 or at < 0 or room < left.distinct[0]:
-            if room <= most_waste and (room == 0 or not dominated(chosen, room)):
-                found.append((room, list(chosen)))
-            return room == 0
-        while at >= 0 and budget > 0:
-            s = left.distinct[at]
-            if left.count[s] > used[s]:
-                budget -= 1
-                used[s] += 1
-                chosen.append(s)
-                done = extend(room - s, s, chosen)
-                chosen.pop()
-                used[s] -= 1
-                if done:
-                    return True
+        self.total = sum(sizes)
+
+    def take(self, chosen: list[tuple[int, int]]) -> None:
+        for s, n in chosen:
+            self.total -= s * n
+            self.count[s] -= n
+            if not self.count[s]:
+                del self.distinct[bisect.bisect_left(self.distinct, s)]
+                del self.count[s]
+
+    def give(self, chosen: list[tuple[int, int]]) -> None:
+        for s, n in chosen:
+            self.total += s * n
+            if s not in self.count:
+                bisect.insort(self.distinct, s)
+            self.count[s] += n
+
+
+class Steps:
+    """How many steps a search may still take; None is without end."""
+
+    def __init__(self, most: int | None):
+        self.left = most
+
+    def take(self) -> bool:
+        if self.left is None:
+            return True
+        self.left -= 1
+        return self.left >= 0
+
+
+def _dominated(left: _Left, chosen: list[tuple[int, int]], waste: int) -> bool:
+    """Whether an item left fits into the waste, or a larger item left could stand in for one of the filling's."""
+    used = dict(chosen)
+    for y in (0, *used):
+        at = bisect.bisect_right(left.distinct, y + waste) - 1
+        while at >= 0 and left.distinct[at] > y:
+            if left.count[left.distinct[at]] > used.get(left.distinct[at], 0):
+                return True
             at -= 1
-        return False
-
-    extend(room, room, [])
-    found.sort(key=lambda f: (f[0], [-s for s in f[1]]))
-    return found[:keep]
+    return False
+
+
+def completions(left: _Left, room: int, most_waste: int, steps: Steps) -> Iterator[list[tuple[int, int]]]:
+    """All undominated fillings of ``room`` by items left, as (size, number) from the largest size down, fullest
+    choices first. The search goes over distinct sizes with a stack of its own, so neither the number of items in
+    a filling nor its depth is limited; it ends early only when ``steps`` are used up."""
+    distinct = left.distinct
+    # a level of the stack: index of the size, room before it, number still to be tried of it
+    stack: list[list[int]] = []
+    chosen: list[tuple[int, int]] = []
+    at, free = bisect.bisect_right(distinct, room) - 1, room
+    while True:
+        # descend: of every size as many as fit
+        while at >= 0 and free >= distinct[0] and steps.take():
+            s = distinct[at]
+            n = min(left.count[s], free // s)
+            stack.append([at, free, n])
+            if n:
+                chosen.append((s, n))
+                free -= n * s
+            at = min(at - 1, bisect.bisect_right(distinct, free) - 1)
+        if steps.left is not None and steps.left < 0:
+            return
+        if free <= most_waste and not _dominated(left, chosen, free):
+            yield list(chosen)
+        # climb to the last level where one fewer can be tried; what smaller sizes are left bounds the waste
+        while stack:
+            level = stack[-1]
+            at, before, n = level
+            s = distinct[at]
+            if n:
+                chosen.pop()
+            if n > 0 and steps.take():
+                level[2] = n - 1
+                if n > 1:
+                    chosen.append((s, n - 1))
+                free = before - (n - 1) * s
+                below = 0
+                for k in range(at):
+                    below += distinct[k] * left.count[distinct[k]]
+                    if free - below <= most_waste:
+                        break
+                if free - below <= most_waste:
+                    at = min(at - 1, bisect.bisect_right(distinct, free) - 1)
+                    break
+                if n > 1:
+                    chosen.pop()
+                level[2] = 0
+                stack.pop()
+                continue
+            stack.pop()
+        else:
+            return
 
 
-def pack(sizes: list[int], capacity: int, keep: int = 3, nodes: int = 400, branches: int = 20_000) -> list[list[int]]:
-    """Windows of item sizes, each at most ``capacity`` in sum. Branch and bound over completions;
-    ``branches`` bounds the windows tried, after which the best solution met is given."""
+def pack(sizes: list[int], capacity: int, steps: int | None = 50_000) -> list[list[int]]:
+    """Windows of item sizes, each at most ``capacity`` in sum: branch and bound over the fillings around the largest
+    item left. A branch ends when it wastes more than any better packing may. Best-fit decreasing is the first
+    incumbent; after ``steps`` steps the best packing met is given, with None the search goes on until no better one
+    can be, which may take exponential time."""
     best = best_fit(sizes, capacity)
     least = lower_bound(sizes, capacity)
     total = sum(sizes)
-    left = _Left(sizes)
-    bins: list[list[int]] = []
-    options: list[list[list[int]]] = []  # what is still to be tried at each window
+    left, budget = _Left(sizes), Steps(steps)
+    bins: list[list[tuple[int, int]]] = []
+    options: list[Iterator[list[tuple[int, int]]]] = []
     wasted = 0
-    tried = 0
-    while len(best) > least and tried < branches:
-        if not left.count:
-            if len(bins) < len(best):
-                best = [list(b) for b in bins]
-            back = True
+
+    def opened() -> Iterator[list[tuple[int, int]]]:
+        """Fillings of the next window, if a better packing may still come of it."""
+        allowed = (len(best) - 1) * capacity - total - wasted
+        if allowed < 0 or len(bins) + -(-left.total // capacity) >= len(best):
+            return iter(())
+        large = left.distinct[-1]
+        left.take([(large, 1)])
+        # the fillings are made while the window's own items are out of the list, one at a time
+        found = completions_of(large, allowed)
+        left.give([(large, 1)])
+        return found
+
+    def completions_of(large: int, allowed: int) -> Iterator[list[tuple[int, int]]]:
+        own = _Left([])
+        own.count, own.distinct, own.total = Counter(left.count), list(left.distinct), left.total
+        for filling in completions(own, capacity - large, allowed, budget):
+            yield [(large, 1), *filling]
+
+    def back() -> None:
+        nonlocal wasted
+        gone = bins.pop()
+        wasted -= capacity - sum(s * n for s, n in gone)
+        left.give(gone)
+
+    if len(best) > least and sizes:
+        options.append(_restarted(opened()))
+    while options and len(best) > least and (budget.left is None or budget.left >= 0):
+        filling = next(options[-1], None)
+        if filling is None:
+            options.pop()
+            if bins:
+                back()
+            continue
+        left.take(filling)
+        bins.append(filling)
+        wasted += capacity - sum(s * n for s, n in filling)
+        if left.count:
+            options.append(_restarted(opened()))
         else:
-            allowed = (len(best) - 1) * capacity - total - wasted
-            back = allowed < 0 or len(bins) + -(-sum(s * n for s, n in left.count.items()) // capacity) >= len(best) if len(bins) % 64 == 0 else allowed < 0
-            if not back:
-                large = left.distinct[-1]
-                left.take(large)
-                fillings = completions(left, capacity - large, max(0, allowed), keep, nodes)
-                left.give(large)
-                back = not fillings
-                if fillings:
-                    options.append([[large, *f] for _, f in reversed(fillings)])
-        if back:
-            while options and not options[-1]:
-                options.pop()
-                gone = bins.pop() if len(bins) > len(options) else None
-                if gone:
-                    wasted -= capacity - sum(gone)
-                    for s in gone:
-                        left.give(s)
-            if not options:
-                break
-            if len(bins) == len(options):
-                gone = bins.pop()
-                wasted -= capacity - sum(gone)
-                for s in gone:
-                    left.give(s)
-        chosen = options[-1].pop()
-        for s in chosen:
-            left.take(s)
-        bins.append(chosen)
-        wasted += capacity - sum(chosen)
-        tried += 1
-    if len(best) > least and bins and tried >= branches and left.count:
-        rest = bins + best_fit([s for s, n in left.count.items() for _ in range(n)], capacity)
+            if len(bins) < len(best):
+                best = [[s for s, n in b for _ in range(n)] for b in bins]
+            back()
+    if len(best) > least and bins:
+        rest = [[s for s, n in b for _ in range(n)] for b in bins] + best_fit([s for s, n in left.count.items() for _ in range(n)], capacity)
         if len(rest) < len(best):
             best = rest
     return best
 
 
+def _restarted(found: Iterator) -> Iterator:
+    """The iterator with its first element made at once, while the list of items is as it was asked about."""
+    first = next(found, None)
+    return iter(()) if first is None else _chained(first, found)
+
+
+def _chained(first, rest: Iterator) -> Iterator:
+    yield first
+    yield from rest
+
+
 def windows(spark: SparkSession, documents: DataFrame, capacities: DataFrame, tokenizer_path: str | None = None, shard: int = SHARD) -> DataFrame:
     """(window_name, window_no, doc_id, piece_no, first_token, tokens): where each document, or each
     piece of one above the capacity, lies. piece_no counts from 1, first_token from 0; window_no is
-    unique within a window_name. Of the capacities (a few rows) null and non-positive ones are left
+    unique within a window_name. Of the capacities null and non-positive ones are left
     out and repeated names take their smallest. Documents without tokens lie nowhere."""
     counted = materialize(token_counts(documents, tokenizer_path), "tokens")
-    caps = capacities.where("window_name is not null and capacity_tokens > 0").groupBy("window_name").agg(F.min("capacity_tokens").alias("c")).limit(100).collect()
-    if not caps:
-        return spark.createDataFrame([], "window_name string, window_no bigint, doc_id bigint, piece_no bigint, first_token bigint, tokens bigint")
+    caps = capacities.where("window_name is not null and capacity_tokens > 0").groupBy("window_name").agg(F.min("capacity_tokens").alias("c"))
+    listed = caps.agg(F.sort_array(F.collect_list(F.struct(F.col("window_name").alias("name"), F.col("c").cast("bigint").alias("cap")))))
     shards = max(1, counted.count() // shard)
-    sizes = counted.withColumn("w", F.explode(F.array(*[F.struct(F.lit(r["window_name"]).alias("name"), F.lit(int(r["c"])).cast("bigint").alias("cap")) for r in caps])))
+    sizes = counted.withColumn("w", F.explode(listed.scalar()))
     sizes = sizes.select(F.col("w.name").alias("window_name"), F.col("w.cap").alias("cap"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), "doc_id", "tokens")
 
     def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -241,4 +297,6 @@ def windows(spark: SparkSession, documents: DataFrame, capacities: DataFrame, to
         out.insert(0, "window_name", name)
         return out
 
-    return sizes.groupBy("window_name", "cap", "shard").applyInPandas(fill, "window_name string, window_no bigint, doc_id bigint, piece_no bigint, first_token bigint, tokens bigint")
+    # shards are small in bytes and long in work: an explicit number keeps them from being put together
+    tasks = min(shards * max(1, caps.count()), 8 * spark.sparkContext.defaultParallelism)
+    return sizes.repartition(tasks, "window_name", "cap", "shard").groupBy("window_name", "cap", "shard").applyInPandas(fill, "window_name string, window_no bigint, doc_id bigint, piece_no bigint, first_token bigint, tokens bigint")

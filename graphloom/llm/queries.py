@@ -25,11 +25,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_classes(spark: SparkSession, d: str) -> DataFrame:
     """One row per record: the class of records with the same words, and its links to other classes."""
-    members, links = neardup.similar_pairs(spark, table(spark, d, "all_qa_merged"), "qa_key", "question")
-    links = links.where("jaccard >= 0.7 - 1e-12")
-    ends = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class")))
-    counts = ends.groupBy("class").agg(F.count(F.lit(1)).alias("links"))
-    return members.join(counts, "class", "left").select(F.col("key").alias("qa_key"), F.col("class").alias("class_key"), F.coalesce("links", F.lit(0)).alias("links"))
+    members, links = neardup.word_links(spark, table(spark, d, "all_qa_merged"))
+    counted = neardup.class_links(members, links.where("jaccard >= 0.7 - 1e-12"))
+    return counted.select(F.col("key").alias("qa_key"), F.col("class").alias("class_key"), "links")
+
+
+def p4_shingles(spark: SparkSession, d: str) -> DataFrame:
+    """The same over runs of five words, alike from a weighted similarity of 0.8."""
+    return neardup.class_links(*neardup.similar_pairs(spark, table(spark, d, "all_qa_merged"), "qa_key", "question")).select(F.col("key").alias("qa_key"), F.col("class").alias("class_key"), "links")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +85,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_masked, p4_found, p4_classes, p5_found, p5_roles, p6_found, p6_text, p7_found, p8_windows, p8_unused, p9_found, p9_paraphrased, p10_found)
+    f.__name__: f for f in (p1_found, p1_masked, p4_found, p4_classes, p4_shingles, p5_found, p5_roles, p6_found, p6_text, p7_found, p8_windows, p8_unused, p9_found, p9_paraphrased, p10_found)
 }
 
 _FOLD = "translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -96,6 +99,17 @@ p as (select a.qa_key as qa_key_a, b.qa_key as qa_key_b, count(*) as c, any_valu
 select qa_key_a, qa_key_b from p where c >= 0.7 * (na + nb - c)
 """
 
+_P4_CLASSES = f"""
+with w as (select qa_key, list_sort({_WORDS.format(c='question')}) as s from all_qa_merged where question is not null),
+m as (select qa_key, s, min(qa_key) over (partition by s) as class_key from w where len(s) > 0),
+c as (select distinct class_key, list_distinct(s) as ws from m where qa_key = class_key),
+e as (select class_key, len(ws) as n, unnest(ws) as t from c),
+p as (select a.class_key as a, b.class_key as b, count(*) as c, any_value(a.n) as na, any_value(b.n) as nb
+      from e a join e b on a.t = b.t and a.class_key <> b.class_key group by 1, 2),
+l as (select a, count(*) as links from p where c >= 0.7 * (na + nb - c) group by 1)
+select qa_key, class_key, coalesce(links, 0) as links from m left join l on l.a = m.class_key
+"""
+
 _BARE = "nullif(regexp_replace({c}, '[\\s<>]', '', 'g'), '')"
 _TURNS = f"""
 with recursive raw as (
@@ -124,6 +138,7 @@ select distinct doc_id, item_id from dg join ig using (g)
 
 ORACLES: dict[str, str] = {
     "p4_found": _P4,
+    "p4_classes": _P4_CLASSES,
     "p5_found": _TURNS + "select root_message_id, turn_no, message_id from o",
     "p5_roles": _TURNS + "select root_message_id, role, count(*) as turns, min(turn_no) as first_turn from o group by 1, 2",
     "p9_found": _P9,

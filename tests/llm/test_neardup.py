@@ -42,5 +42,55 @@ def test_crowded_bucket_is_split_not_dropped(spark):
     assert links.count() == 60 * 59 // 2
 
 
+def test_shingles_with_their_frequency(spark):
+    import math
+    from collections import Counter
+
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for k in range(150):
+        ws = rows[-1][1].split() if k % 3 and rows else rng.choices(words, k=50)
+        if k % 3:
+            ws[rng.randrange(50)] = rng.choice(words)
+        rows.append((k, " ".join(ws)))
+    rows += [(200, "one two"), (201, "One, two!"), (202, "a b a b a b a b a b"), (203, "a b a b a b a b")]
+    runs = {k: Counter(" ".join(x) for x in ([ws[i : i + 5] for i in range(len(ws) - 4)] or [ws])) for k, t in rows if (ws := [w.decode() for w in words_of(t)])}
+    df = Counter(s for c in runs.values() for s in c)
+    weight = {k: {s: (1 + math.log(n)) * (math.log((1 + len(runs)) / (1 + df[s])) + 1) for s, n in c.items()} for k, c in runs.items()}
+
+    def alike(a, b):
+        both = sum(min(weight[a][s], weight[b][s]) for s in weight[a].keys() & weight[b].keys())
+        return both / (sum(weight[a].values()) + sum(weight[b].values()) - both)
+
+    members, links = similar_pairs(spark, spark.createDataFrame(rows, "k bigint, t string"), "k", "t", similarity=0.6)
+    of = {r["key"]: r["class"] for r in members.collect()}
+    assert of[201] == 200 and of[203] == 203
+    got = {(r["a"], r["b"]) for r in links.collect()}
+    reps = sorted(set(of.values()))
+    score = {(a, b): alike(a, b) for i, a in enumerate(reps) for b in reps[i + 1 :]}
+    assert {p for p, s in score.items() if s >= 0.75} <= got <= {p for p, s in score.items() if s >= 0.599} and len(got) > 30
+
+
+def test_recall_of_the_bands():
+    # measured on drawn samples, not on the formula: pairs of similarity 0.5 and 0.6
+    import numpy as np
+
+    from graphloom.llm.neardup import Sampler
+
+    sampler = Sampler(400)
+    for share in (67, 50):
+        met, n = 0, 300
+        for k in range(n):
+            words = np.arange(k * 1000, k * 1000 + 200 + share, dtype="uint64") * np.uint64(0x9E3779B97F4A7C15)
+            # 200 words each, overlap 200 - share: similarity (200 - share) / (200 + share)
+            size = 200
+            drawn = sampler.draw(np.concatenate([words[:size], words[share : share + size]]), np.ones(2 * size), np.array([0, size]))
+            agree = (drawn[0] == drawn[1]).reshape(80, 5).all(1)
+            met += agree.any()
+        s = (200 - share) / (200 + share)
+        assert met / n >= (1 - (1 - s**5) ** 80) - 0.08, (s, met / n)
+
+
 def test_empty(spark):
     assert alike_questions(spark, spark.createDataFrame([], "qa_key bigint, question string")).count() == 0
