@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import copy
 import importlib.util
 from collections import Counter
 from collections.abc import Iterator
@@ -205,22 +206,13 @@ def pack(sizes: list[int], capacity: int, steps: int | None = 50_000) -> list[li
     wasted = 0
 
     def opened() -> Iterator[list[tuple[int, int]]]:
-        """Fillings of the next window, if a better packing may still come of it."""
+        """Fillings of the next window, if a better packing may still come of it, made one at a time on a copy."""
         allowed = (len(best) - 1) * capacity - total - wasted
         if allowed < 0 or len(bins) + -(-left.total // capacity) >= len(best):
             return iter(())
-        large = left.distinct[-1]
-        left.take([(large, 1)])
-        # the fillings are made while the window's own items are out of the list, one at a time
-        found = completions_of(large, allowed)
-        left.give([(large, 1)])
-        return found
-
-    def completions_of(large: int, allowed: int) -> Iterator[list[tuple[int, int]]]:
-        own = _Left([])
-        own.count, own.distinct, own.total = Counter(left.count), list(left.distinct), left.total
-        for filling in completions(own, capacity - large, allowed, budget):
-            yield [(large, 1), *filling]
+        large, own = left.distinct[-1], copy.deepcopy(left)
+        own.take([(large, 1)])
+        return ([(large, 1), *filling] for filling in completions(own, capacity - large, allowed, budget))
 
     def back() -> None:
         nonlocal wasted
@@ -229,7 +221,7 @@ def pack(sizes: list[int], capacity: int, steps: int | None = 50_000) -> list[li
         left.give(gone)
 
     if len(best) > least and sizes:
-        options.append(_restarted(opened()))
+        options.append(opened())
     while options and len(best) > least and (budget.left is None or budget.left >= 0):
         filling = next(options[-1], None)
         if filling is None:
@@ -241,7 +233,7 @@ def pack(sizes: list[int], capacity: int, steps: int | None = 50_000) -> list[li
         bins.append(filling)
         wasted += capacity - sum(s * n for s, n in filling)
         if left.count:
-            options.append(_restarted(opened()))
+            options.append(opened())
         else:
             if len(bins) < len(best):
                 best = [[s for s, n in b for _ in range(n)] for b in bins]
@@ -253,17 +245,6 @@ def pack(sizes: list[int], capacity: int, steps: int | None = 50_000) -> list[li
     return best
 
 
-def _restarted(found: Iterator) -> Iterator:
-    """The iterator with its first element made at once, while the list of items is as it was asked about."""
-    first = next(found, None)
-    return iter(()) if first is None else _chained(first, found)
-
-
-def _chained(first, rest: Iterator) -> Iterator:
-    yield first
-    yield from rest
-
-
 def windows(spark: SparkSession, documents: DataFrame, capacities: DataFrame, tokenizer_path: str | None = None, shard: int = SHARD) -> DataFrame:
     """(window_name, window_no, doc_id, piece_no, first_token, tokens): where each document, or each
     piece of one above the capacity, lies. piece_no counts from 1, first_token from 0; window_no is

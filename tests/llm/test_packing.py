@@ -28,6 +28,45 @@ def test_small_sets_are_packed_as_well_as_possible(seed):
     assert len(got) == least_windows(sizes, 100) >= P.lower_bound(sizes, 100)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_fillings_are_all_undominated_ones(seed):
+    rng = random.Random(seed)
+    sizes = [rng.randint(3, 30) for _ in range(9)]
+    room = 60
+    got = {tuple(sorted(s for s, n in f for _ in range(n))) for f in P.completions(P._Left(sizes), room, room, P.Steps(None))}
+    every = {tuple(sorted(c)) for k in range(1, 10) for c in itertools.combinations(sizes, k) if sum(c) <= room}
+    from collections import Counter
+
+    def dominated(c):
+        waste, used, have = room - sum(c), Counter(c), Counter(sizes)
+        spare = [s for s in have if have[s] > used[s]]
+        return any(y < s <= y + waste for y in (0, *used) for s in spare)
+
+    assert got == {c for c in every if not dominated(c)} and got
+
+
+def test_windows_of_a_thousand_items_are_filled():
+    rng = random.Random(1)
+    sizes = [rng.randint(3, 7) for _ in range(4000)]
+    full = next(P.completions(P._Left(sizes), 4096, 0, P.Steps(None)))
+    assert sum(s * n for s, n in full) == 4096 and sum(n for _, n in full) > 500
+    got = P.pack(sizes, 4096)
+    assert len(got) == P.lower_bound(sizes, 4096) and sorted(itertools.chain(*got)) == sorted(sizes)
+
+
+def test_exact_mode_proves_the_least_number():
+    for seed in range(8):
+        rng = random.Random(100 + seed)
+        sizes = [rng.randint(20, 55) for _ in range(12)]
+        assert len(P.pack(sizes, 100, steps=None)) == least_windows(sizes, 100)
+
+
+def test_more_than_a_hundred_capacities(spark):
+    d = spark.createDataFrame([(1, "one two three"), (2, "four")], "doc_id bigint, text string")
+    caps = spark.createDataFrame([(f"w{k}", 10 + k) for k in range(101)], "window_name string, capacity_tokens int")
+    assert P.windows(spark, d, caps).select("window_name").distinct().count() == 101
+
+
 def test_windows_hold_every_document_once(spark):
     rng = random.Random(3)
     docs = [(i, " ".join(rng.choices(["alpha", "beta", "gamma", "12", "."], k=rng.randint(1, 300))), "x", 5) for i in range(200)]
