@@ -14,11 +14,13 @@ texts: whatever run of twelve common words there is, it holds a whole passage of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,11 +78,13 @@ class HeldOut:
         return v
 
     def all_near(self, ids: np.ndarray, starts: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-        """As ``near``, but of all pairs with such a cosine: none is left out."""
+        """As ``near``, but of all pairs with such a cosine: none is left out. Products are of single precision,
+        so the border is drawn a little lower."""
         left, right = [np.empty(0, int)], [np.empty(0, int)]
         step = max(1, BLOCK_COSINES // max(1, len(self.vectors)))
+        turned = np.ascontiguousarray(self.vectors.T, dtype="float32")
         for a in range(0, len(starts), step):
-            i, j = np.nonzero(self.latent(ids, starts[a : a + step]) @ self.vectors.T >= cosine)
+            i, j = np.nonzero(self.latent(ids, starts[a : a + step]).astype("float32") @ turned >= np.float32(cosine - 1e-5))
             left.append(i + a)
             right.append(j)
         return np.concatenate(left), np.concatenate(right)
@@ -110,20 +114,40 @@ class HeldOut:
         return pairs[0], pairs[1]
 
 
-def _word_frequencies(documents: DataFrame, words: DataFrame) -> pd.DataFrame:
-    """Documents holding each held-out word (at most BLOCK_WORDS rows), counted over all documents."""
-    seen = documents.select(F.explode(F.array_distinct(words_column(F.col("text")))).alias("w"))
-    return seen.join(F.broadcast(words), "w").groupBy("w").agg(F.count(F.lit(1)).alias("n")).toPandas()
+def encoder(vocabulary: list[str]):
+    """Texts as numbers of their words (vocabulary order; one number more for any other word), by Arrow's own kernels."""
+    values, other = pa.array(vocabulary, pa.string()), len(vocabulary)
 
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of words of each)."""
+        words = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())), "[^a-z0-9]+")
+        flat, sizes = words.flatten(), pc.list_value_length(words).to_numpy(zero_copy_only=False).astype("int64")
+        full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+        ids = pc.fill_null(pc.index_in(flat, value_set=values.cast(pa.large_string())), other).to_numpy(zero_copy_only=False).astype("int32")
+        ends = np.concatenate([[0], np.cumsum(full)])
+        stops = np.cumsum(sizes)
+        return ids[full], ends[stops] - ends[stops - sizes]
 
-def _encode(texts: pd.Series, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    other, ids, lengths = len(vocabulary), [], []
-    get = vocabulary.get
-    for t in texts:
-        row = [get(w, other) for w in words_of(t)]
-        ids.append(np.array(row, "int32"))
-        lengths.append(len(row))
-    return np.concatenate(ids) if ids else np.empty(0, "int32"), np.array(lengths, int)
+    return encode
+
+
+def _word_frequencies(encoded: DataFrame, words: int) -> np.ndarray:
+    """Documents holding each held-out word, counted over all documents; a task gives one row a word at most."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(words + 1, "int64")
+        for pdf in batches:
+            rows = [np.frombuffer(b, "int32") for b in pdf["ids"]]
+            doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+            pairs = np.unique(doc * (words + 1) + np.concatenate(rows)) if rows else np.empty(0, "int64")
+            n += np.bincount(pairs % (words + 1), minlength=words + 1)
+        used = np.flatnonzero(n[:words])
+        yield pd.DataFrame({"w": used, "n": n[used]})
+
+    found = encoded.mapInPandas(count, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(words + 1)
+    out[found["w"].to_numpy("int64")] = found["n"].to_numpy("int64")
+    return out
 
 
 def latent_space(spark: SparkSession, encoded: DataFrame, own: np.ndarray, own_starts: np.ndarray, idf: np.ndarray, rank: int, seed: int) -> np.ndarray:
@@ -193,28 +217,22 @@ def _prepare(spark: SparkSession, documents: DataFrame, items: pd.DataFrame, ran
     vocabulary = {w: i for i, w in enumerate(sorted({w for ws in texts for w in ws}))}
     if not vocabulary:
         return None
-    schema = spark.createDataFrame([(w.decode(),) for w in vocabulary], "w string")
-    counts = _word_frequencies(documents, schema)
-    total = documents.count()
-    df = np.zeros(len(vocabulary) + 1)
-    for w, n in zip(counts["w"], counts["n"]):
-        df[vocabulary[w.encode()]] = n
-    idf = np.log((1 + total) / (1 + df)) + 1
     lengths = np.array([len(ws) for ws in texts])
     own = np.concatenate([np.array([vocabulary[w] for w in ws], "int32") for ws in texts])
-    shared = spark.sparkContext.broadcast(vocabulary)
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keys, rows = [], []
-            for key, text in zip(pdf["doc"], pdf["text"]):
-                ids, _ = _encode(pd.Series([text]), shared.value)
-                if len(ids) >= WINDOW:
-                    keys.append(key)
-                    rows.append(ids.tobytes())
-            yield pd.DataFrame({"doc": pd.Series(keys, dtype="int64"), "ids": pd.Series(rows, dtype=object)})
-
-    encoded = materialize(documents.mapInPandas(encode, "doc bigint, ids binary"), "encoded")
+    shared = spark.sparkContext.broadcast([w.decode() for w in vocabulary])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_in = encoder(shared.value)
+        for batch in batches:
+            ids, sizes = words_in(batch.column("text"))
+            kept = sizes > 0
+            begins = np.concatenate([[0], np.cumsum(sizes)])
+            rows = [ids[begins[i] : begins[i + 1]].tobytes() for i in np.flatnonzero(kept)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc").filter(pa.array(kept)), pa.array(rows, pa.binary())], ["doc", "ids"])
+
+    encoded = materialize(documents.mapInArrow(encode, "doc bigint, ids binary"), "encoded")
+    df = _word_frequencies(encoded, len(vocabulary))
+    idf = np.log((1 + documents.count()) / (1 + df)) + 1
     starts = _starts(lengths, 1)
     space = latent_space(spark, encoded, own, _starts(lengths, WINDOW), idf, rank, seed)
     table = idf[:, None] * space
@@ -251,11 +269,25 @@ def _runs(held: HeldOut, ids: np.ndarray, doc: np.ndarray, p: np.ndarray, q: np.
     return left + right >= least
 
 
-def _items_in_blocks(items: DataFrame) -> list[pd.DataFrame]:
-    clean = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null").distinct()
-    words = clean.agg(F.sum(F.size(words_column(F.col("text"))))).first()[0] or 0
-    blocks = int(-(-words // BLOCK_WORDS)) or 1
-    return [clean.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toPandas() for b in range(blocks)]
+class _Blocks(Sequence):
+    """The held-out texts in blocks of about BLOCK_WORDS words; a block is fetched when it is asked for."""
+
+    def __init__(self, items: DataFrame):
+        self.clean = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null").distinct()
+        words = self.clean.agg(F.sum(F.size(words_column(F.col("text"))))).first()[0] or 0
+        self.blocks = int(-(-words // BLOCK_WORDS)) or 1
+
+    def __len__(self) -> int:
+        return self.blocks
+
+    def __getitem__(self, b: int) -> pd.DataFrame:
+        if not 0 <= b < self.blocks:
+            raise IndexError(b)
+        return self.clean.where(F.pmod(F.xxhash64("item_id"), F.lit(self.blocks)) == b).toPandas()
+
+
+def _items_in_blocks(items: DataFrame) -> _Blocks:
+    return _Blocks(items)
 
 
 def leaked_items(spark: SparkSession, documents: DataFrame, items: DataFrame, least: int = 12, cosine: float = 0.95, rank: int = 48, tables: int = 2, bits: int = 14, seed: int = 5) -> DataFrame:
@@ -294,6 +326,21 @@ def leaked_items(spark: SparkSession, documents: DataFrame, items: DataFrame, le
     return out.distinct()
 
 
+def common_subsequence(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of each row of x with that row of y (at most 60 words wide): the rows
+    of the dynamic program are bits of one number, all pairs go at once."""
+    width = y.shape[1]
+    row = np.full(len(x), (1 << width) - 1, "uint64")
+    for i in range(x.shape[1]):
+        match = np.zeros(len(x), "uint64")
+        for j in range(width):
+            match |= (y[:, j] == x[:, i]).astype("uint64") << np.uint64(j)
+        hit = row & match
+        row = (row + hit) | (row - hit)
+    row &= np.uint64((1 << width) - 1)
+    return width - np.bitwise_count(row).astype("int64")
+
+
 def paraphrased_items(spark: SparkSession, documents: DataFrame, items: DataFrame, cosine: float = 0.75, share: float = 0.75, rank: int = 48, seed: int = 5) -> DataFrame:
     """(doc_id, item_id, lcs_share): documents with a passage that says what an item's does in other
     words: at a high latent cosine the longest common subsequence of the 24 words around both
@@ -312,27 +359,35 @@ def paraphrased_items(spark: SparkSession, documents: DataFrame, items: DataFram
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held, names, weight = shared.value
             edges = np.searchsorted(held.item, np.arange(len(names) + 1))
+            # of each held-out passage the words around it and its three rarest words
+            at = held.starts[:, None] + np.arange(-8, 16)
+            inside = (at >= edges[held.item[held.starts]][:, None]) & (at < edges[held.item[held.starts] + 1][:, None])
+            around = np.where(inside, held.ids[np.clip(at, 0, len(held.ids) - 1)], -1)
+            core = held.ids[held.starts[:, None] + np.arange(WINDOW)]
+            rare = np.take_along_axis(core, np.argsort(-weight[core], axis=1, kind="stable")[:, :3], 1)
             for pdf in batches:
-                for key, raw in zip(pdf["doc"], pdf["ids"]):
-                    ids = np.frombuffer(raw, "int32")
-                    starts = _starts(np.array([len(ids)]), STRIDE)
-                    i, j = held.all_near(ids, starts, cosine)
-                    best: dict[int, float] = {}
-                    for p, q in zip(starts[i], held.starts[j]):
-                        item = held.item[q]
-                        x = ids[max(0, p - 8) : p + 16]
-                        y = held.ids[max(edges[item], q - 8) : min(edges[item + 1], q + 16)]
-                        core = held.ids[q : q + WINDOW]
-                        if not np.isin(core[np.argsort(-weight[core])[:3]], x).all():
-                            continue
-                        row = np.zeros(len(y) + 1, int)
-                        for w in x:
-                            up = row[:-1] + (y == w)
-                            row[1:] = np.maximum.accumulate(np.maximum(row[1:], up))
-                        best[item] = max(best.get(item, 0.0), row[-1] / len(y))
-                    hits = [(key, names[k], v) for k, v in best.items() if v >= share]
-                    if hits:
-                        yield pd.DataFrame(hits, columns=["doc_id", "item_id", "lcs_share"])
+                rows = [np.frombuffer(b, "int32") for b in pdf["ids"]]
+                ids, lengths = np.concatenate(rows), np.array([len(r) for r in rows])
+                begins = np.concatenate([[0], np.cumsum(lengths)])
+                doc = np.repeat(np.arange(len(rows)), lengths)
+                starts = _starts(lengths, STRIDE)
+                best: dict[tuple[int, int], float] = {}
+                for a in range(0, len(starts), 20_000):
+                    part = starts[a : a + 20_000]
+                    i, j = held.all_near(ids, part, cosine)
+                    for c in range(0, len(i), 200_000):
+                        p, q = part[i[c : c + 200_000]], j[c : c + 200_000]
+                        place = p[:, None] + np.arange(-8, 16)
+                        own = (place >= begins[doc[p]][:, None]) & (place < begins[doc[p] + 1][:, None])
+                        x = np.where(own, ids[np.clip(place, 0, len(ids) - 1)], -2)
+                        told = (x[:, None, :] == rare[q][:, :, None]).any(2).all(1)
+                        p, q, x = p[told], q[told], x[told]
+                        y = around[q]
+                        score = common_subsequence(x, y) / np.maximum((y >= 0).sum(1), 1)
+                        for d, k, v in zip(doc[p][score >= share], held.item[held.starts[q]][score >= share], score[score >= share]):
+                            best[d, k] = max(best.get((d, k), 0.0), float(v))
+                docs = pdf["doc"].to_numpy("int64")
+                yield pd.DataFrame([(docs[d], names[k], v) for (d, k), v in best.items()], columns=["doc_id", "item_id", "lcs_share"])
 
         out = out.unionByName(encoded.mapInPandas(search, "doc_id bigint, item_id bigint, lcs_share double"))
     return out.groupBy("doc_id", "item_id").agg(F.max("lcs_share").alias("lcs_share"))
