@@ -28,6 +28,7 @@ _TAG = re.compile(r"#\w+|\btags?\s*:", re.I)
 _PRICE = re.compile(r"\b\d+[.,]\d\d\b(?![.,]?\d)")
 _CODE = re.compile(r"[{}=\\]|->|::|/\*|\*/|\(\)|^\s*--\s|^(?:SELECT|UPDATE|SET|CREATE|EXPLAIN|INSERT|DELETE|ALTER)\b", re.M)
 _LOG = re.compile(r"^(?:\S+\s){0,3}(?:LOG|DEBUG\d?|ERROR|WARNING|INFO|NOTICE|FATAL|STATEMENT|DETAIL|HINT|CONTEXT)\s*:", re.M)
+_LEVELS = ("LOG", "DEBUG", "ERROR", "WARNING", "INFO", "NOTICE", "FATAL", "STATEMENT", "DETAIL", "HINT", "CONTEXT")
 _LEADERS = re.compile(r"\.{3,}\s*\d+\s*$", re.M)
 _PARAMETER = re.compile(r"^\s*[\w.-]+\s*(?:\([^()]*\)|=|:)\s", re.M)
 _IDENTIFIER = re.compile(r"\b[a-z]+(?:_[a-z0-9]+)+\b|\b(?:[A-Z][a-z]+){2,}\b|\b[\w.-]+/[\w./-]+\.\w+")
@@ -47,10 +48,19 @@ def features_of(text: str) -> list[float]:
     """Content and link features of a page; every one is a share or a logarithm."""
     lines = [x for x in text.split("\n") if x.strip()]
     chars = max(1, sum(map(len, lines)))
-    urls = _URL.findall(text)
-    anchors = [a or b for a, b in _ANCHOR.findall(text)]
-    rest = _URL.sub(" ", _ANCHOR.sub(" ", text))
-    words = [w.lower() for w in _WORD.findall(rest)]
+    # most pages hold no link or no markup at all; what cannot be there is not looked for
+    low = text.lower()
+    has_url, has_anchor = "http" in text or "www." in text, "<a" in low or "](" in text
+    urls = _URL.findall(text) if has_url else []
+    anchors = [a or b for a, b in _ANCHOR.findall(text)] if has_anchor else []
+
+    def unlinked(x: str) -> str:
+        x = _ANCHOR.sub(" ", x) if has_anchor else x
+        return _URL.sub(" ", x) if has_url else x
+
+    rest = unlinked(text)
+    line_words = [_WORD.findall(x.lower()) for x in lines]
+    words = [w for ws in line_words for w in ws] if rest is text else _WORD.findall(rest.lower())
     n = max(1, len(words))
     anchor_words = [w.lower() for a in anchors for w in _WORD.findall(a)]
     own = words + anchor_words
@@ -60,13 +70,14 @@ def features_of(text: str) -> list[float]:
     counts = Counter(own)
     function = sum(w in FUNCTION_WORDS for w in own) / m
     sentence_chars, other = 0, []
-    for line in lines:
+    for line, ws in zip(lines, line_words):
         if line.lstrip().startswith("#"):
             continue
-        line = _URL.sub(" ", _ANCHOR.sub(" ", line))
-        if not line.strip():
-            continue
-        ws = [w.lower() for w in _WORD.findall(line)]
+        if has_url or has_anchor:
+            line = unlinked(line)
+            if not line.strip():
+                continue
+            ws = _WORD.findall(line.lower())
         ends = line.rstrip()[-1] in ".?!;:,)" or len(ws) >= 9
         least = 0.09 if line.rstrip()[-1] in ".?!" and len(ws) >= 6 else 0.18
         if ends and len(ws) >= 5 and sum(w in FUNCTION_WORDS for w in ws) >= least * len(ws):
@@ -75,25 +86,26 @@ def features_of(text: str) -> list[float]:
             other += ws
     other_pairs = Counter(zip(other, other[1:]))
     explained = 0
-    for x in lines:
+    linked = 0
+    for x in lines if has_url else ():
         if _URL.search(x):
-            ws = [w.lower() for w in _WORD.findall(_URL.sub(" ", _ANCHOR.sub(" ", x)))]
+            linked += 1
+            ws = _WORD.findall(unlinked(x).lower())
             explained += len(ws) >= 3 and sum(w in FUNCTION_WORDS for w in ws) >= 0.15 * len(ws) and len(set(ws)) > 0.5 * len(ws)
-    linked = sum(bool(_URL.search(x)) for x in lines)
-    starts = Counter(tuple(w.lower() for w in _WORD.findall(x)[:2]) for x in lines)
+    starts = Counter(tuple(ws[:2]) for ws in line_words)
     return [
         function,
         sum(map(len, urls)) / chars,
         len(urls) / m,
         (linked - explained) / max(1, len(lines)) if urls else 0.0,
-        len(_TAG.findall(text)) / m,
+        (len(_TAG.findall(text)) / m if "#" in text or "tag" in low else 0.0),
         len(_PRICE.findall(rest)) / max(1, len(lines)),
         len(counts) / m**0.8,
         repeated / m,
         counts.most_common(1)[0][1] / m if own else 0.0,
         len(_CODE.findall(text)) / max(1, len(lines)),
-        len(_LOG.findall(text)) / max(1, len(lines)),
-        len(_LEADERS.findall(text)) / max(1, len(lines)),
+        (len(_LOG.findall(text)) / max(1, len(lines)) if any(x in text for x in _LEVELS) else 0.0),
+        (len(_LEADERS.findall(text)) / max(1, len(lines)) if "..." in text else 0.0),
         len(_PARAMETER.findall(text)) / max(1, len(lines)),
         len(_IDENTIFIER.findall(rest)) / n,
         len(re.findall(r"[.?!](?:\s|$)", rest)) / n,
