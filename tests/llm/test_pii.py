@@ -45,6 +45,23 @@ def test_personal_data(spark):
     assert "<EMAIL>" in out[1]["from"] and out[900]["body"] is None
 
 
+def test_what_is_not_complete_counts_in_good_patterns_only(spark):
+    rows = []
+    for i in range(60):
+        rows.append((i, None, f"Write to a{i}.b@x{i % 7}.example soon.\nHis home is at {i + 3} Hollin Road, 90{i:03d} Norrmark now.\nThe parser stops at line {i} dot com files are next.", "x", "y"))
+    rows += [(900, None, "Write to jo.fay at relay dot zz soon.\nHis home is at 12 Larkmoor Street now.", "x", "y"), (901, None, "we look at it dot zz by dot.\nBench 12 Larkmoor Street was slow.", "x", "y")]
+    got = {tuple(r) for r in personal_data(spark, spark.createDataFrame(rows, MAIL), spark.createDataFrame([], KNOWN)).collect() if r["delivery_id"] >= 900}
+    assert got == {(900, "body", "email", "jo.fay at relay dot zz"), (900, "body", "address", "12 Larkmoor Street")}
+
+
+def test_numbers_in_the_sender_and_long_names(spark):
+    long = "Torvin Maelis Oskar Haldrek Lindqvarn Torvin Haldrek"
+    rows = corpus()[:150] + [(900, "Torvin Haldrek +1 555 0123 2020 <t@x.example>", f"Hello Oskar,\n\nRegards\n{long}", "x", "y")]
+    known = spark.createDataFrame([(n, "given") for n in ("Torvin", "Maelis", "Oskar")] + [(n, "family") for n in ("Haldrek", "Lindqvarn")], KNOWN)
+    got = {tuple(r)[1:] for r in personal_data(spark, spark.createDataFrame(rows, MAIL), known).collect() if r["delivery_id"] == 900}
+    assert {("from", "phone", "+1 555 0123 2020"), ("from", "email", "t@x.example"), ("from", "name", "Torvin Haldrek"), ("body", "name", long), ("body", "name", "Oskar")} <= got
+
+
 def test_empty(spark):
     assert personal_data(spark, spark.createDataFrame([], MAIL), spark.createDataFrame([], KNOWN)).count() == 0
     assert candidates_of("", "body") == []
