@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STOP_WORDS = ("a", "an", "and", "for", "in", "new", "of", "on", "the", "to", "with")
+# Words that say nothing about a feature.
+STOP_WORDS = tuple(
+    "the for and of to a an in with on by via from using support enable adds add new allows allow provides providing improved improvement including through are is was were can cannot be being been "
+    "now also into than then up down across before after it its their there within without over where command feature postgresql database data type types function functions operator operators option options".split()
+)
 
 
 def tokenize(c: Column) -> Column:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from graphloom.plans import code_graph, corpus, delivery, pages, retrieval, shells, traversals
+from graphloom.plans import answers, code_graph, corpus, delivery, pages, questions, retrieval, shells, traversals
 
-_MODULES = (delivery, traversals, code_graph, corpus, pages, retrieval, shells)
+_MODULES = (delivery, traversals, code_graph, corpus, pages, questions, retrieval, shells, answers)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}

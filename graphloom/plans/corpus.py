@@ -39,7 +39,7 @@ def qa(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "all_qa_merged")
 
 
-_TOK = "list_filter(string_split_regex(lower({c}), '[^\\w]+'), lambda w: w <> '' and w not in ('a', 'an', 'and', 'for', 'in', 'new', 'of', 'on', 'the', 'to', 'with') and not regexp_full_match(w, '[0-9]+'))"
+_TOK = "list_filter(string_split_regex(lower({c}), '[^\\w]+'), lambda w: w <> '' and w not in (" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + ") and not regexp_full_match(w, '[0-9]+'))"
 
 
 @query("select topic_key, tokens from (select cluster_id as topic_key, " + _TOK.format(c="replace(label, '_', ' ') || ' for the 64 new WAL'") + " as tokens from topic_cluster)")
@@ -164,21 +164,6 @@ def validate_safe(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "ragas_dataset").select("ragas_key", F.coalesce(g.rlike(r"(?U)^[\s\x1c-\x1f]*cpg") & ~dangerous, F.lit(False)).alias("safe"))
 
 
-_INTENTS = [("explain-concept", ["what role", "explain"]), ("trace-flow", ["what happens", "in what order"]), ("find-location", ["where in", "which part"]), ("check-condition", ["under which", "can the"])]
-
-
-@query("select qa_key, case when greatest(a, b, c, e) = 0 then 'explain-concept' when a = greatest(a, b, c, e) then 'explain-concept' when b = greatest(a, b, c, e) then 'trace-flow' when c = greatest(a, b, c, e) then 'find-location' else 'check-condition' end as intent from (select qa_key, contains(q, 'what role')::int + contains(q, 'explain')::int as a, contains(q, 'what happens')::int + contains(q, 'in what order')::int as b, contains(q, 'where in')::int + contains(q, 'which part')::int as c, contains(q, 'under which')::int + contains(q, 'can the')::int as e from (select qa_key, lower(question) as q from all_qa_merged))")
-def fn_classify_intent(spark: SparkSession, d: str) -> DataFrame:
-    """The intent with most hits; ties go to the first, none to the first as well."""
-    q = F.lower("question")
-    scores = [sum((q.contains(t).cast("int") for t in tokens), F.lit(0)) for _, tokens in _INTENTS]
-    best = F.greatest(*scores)
-    out = F.when(best == 0, _INTENTS[0][0])
-    for (name, _), s in zip(_INTENTS, scores):
-        out = out.when(s == best, name)
-    return qa(spark, d).select("qa_key", out.otherwise(_INTENTS[0][0]).alias("intent"))
-
-
 @query("select ragas_key, p as precision, r as recall, case when p + r = 0 then 0.0 else 2 * p * r / (p + r) end as f1 from (select ragas_key, case when len(a) = 0 and len(q) = 0 then 1.0 when len(a) = 0 then 0.0 else len(list_intersect(a, q)) / len(a) end as p, case when len(a) = 0 and len(q) = 0 then 1.0 when len(q) = 0 then 0.0 else len(list_intersect(a, q)) / len(q) end as r from (select ragas_key, list_distinct(regexp_extract_all(answer, '\\b([a-z]+(?:_[a-z0-9]+)+)\\b', 1) || regexp_extract_all(answer, '\\b((?:[A-Z][a-z0-9]+){2,})\\b', 1)) as a, list_distinct(regexp_extract_all(question, '\\b([a-z]+(?:_[a-z0-9]+)+)\\b', 1) || regexp_extract_all(question, '\\b((?:[A-Z][a-z0-9]+){2,})\\b', 1)) as q from ragas_dataset where answer is not null and question is not null))")
 def entity_prf(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "ragas_dataset").where("answer is not null and question is not null").select("ragas_key", T.extract_functions(F.col("answer")).alias("a"), T.extract_functions(F.col("question")).alias("q"))

@@ -3,12 +3,13 @@ call sites, events control structures, customers identifiers. Node ids of the ki
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.session import table
+from graphloom.session import checkpoint_root, table
 
 METHOD, CALL, CONTROL, IDENTIFIER = 1_000_000_000, 2_000_000_000, 3_000_000_000, 4_000_000_000
 DIRECTORIES = ["optimizer", "storage", "executor", "access", "parser", "utils", "commands", "tcop", "catalog", "port"]
@@ -32,10 +33,30 @@ def _pick(values: list[str], index):
     return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def graph(spark: SparkSession, d: str) -> Graph:
+    """The graph of a data folder. It is drawn once a session and written to the shared folder with nodes and edges
+    apart by label, so a step reads only the kinds it asks for."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        g, root = drawn(spark, d), f"{checkpoint_root(spark)}/graph-{uuid.uuid4().hex}"
+        g.nodes.write.partitionBy("label").parquet(f"{root}/nodes")
+        g.edges.write.partitionBy("label").parquet(f"{root}/edges")
+        g.tags.write.parquet(f"{root}/tags")
+        _STORED[key] = root
+    read = lambda name, columns: spark.read.parquet(f"{_STORED[key]}/{name}").select(*columns)
+    return Graph(read("nodes", COLUMNS), read("edges", ["src", "dst", "label", "variable"]), read("tags", ["node_id", "node_label", "tag_name", "tag_value"]))
+
+
+COLUMNS = ["id", "label", "name", "code", "filename", "line_number", "line_number_end", "control_structure_type", "order", "is_static", "signature_size", "method_id"]
+
+
+def drawn(spark: SparkSession, d: str) -> Graph:
+    """The graph as plans over the tables."""
     supplier, part, orders, events, customer = (table(spark, d, t) for t in ("supplier", "part", "orders", "events", "customer"))
     null = lambda kind: F.lit(None).cast(kind)
-    columns = ["id", "label", "name", "code", "filename", "line_number", "line_number_end", "control_structure_type", "order", "is_static", "signature_size", "method_id"]
     path = lambda k: F.concat(F.lit("src/backend/"), _pick(DIRECTORIES, k % 10), F.lit("/f"), k.cast("string"), F.lit(".c"))
     key = F.col("s_suppkey")
     files = supplier.select(
@@ -73,7 +94,7 @@ def graph(spark: SparkSession, d: str) -> Graph:
     )
     nodes = files
     for other in (methods, calls, controls, identifiers):
-        nodes = nodes.unionByName(other.select(columns))
+        nodes = nodes.unionByName(other.select(COLUMNS))
     edge = lambda df, src, dst, label, variable=None: df.select(src.cast("bigint").alias("src"), dst.cast("bigint").alias("dst"), F.lit(label).alias("label"), (variable if variable is not None else null("string")).alias("variable"))
     cs, ev = F.col("event_id") + CONTROL, F.col("event_id")
     edges = edge(part, file_key, F.col("p_partkey") + METHOD, "CONTAINS")
