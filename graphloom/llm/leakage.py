@@ -223,7 +223,8 @@ def _prepare(spark: SparkSession, documents: DataFrame, items: pd.DataFrame, ran
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_in = encoder(shared.value)
-        for batch in batches:
+        # few texts at a time, so that long ones do not fill the memory
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             ids, sizes = words_in(batch.column("text"))
             kept = sizes > 0
             begins = np.concatenate([[0], np.cumsum(sizes)])
