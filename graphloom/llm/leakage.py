@@ -120,7 +120,9 @@ def encoder(vocabulary: list[str]):
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of words of each)."""
-        words = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())), "[^a-z0-9]+")
+        # a copy that starts at its own first byte: lower-casing a slice in place of it gives wrong text
+        own = pc.fill_null(texts, "").cast(pa.large_string()).take(pa.array(np.arange(len(texts))))
+        words = pc.split_pattern_regex(pc.ascii_lower(own), "[^a-z0-9]+")
         flat, sizes = words.flatten(), pc.list_value_length(words).to_numpy(zero_copy_only=False).astype("int64")
         full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
         ids = pc.fill_null(pc.index_in(flat, value_set=values.cast(pa.large_string())), other).to_numpy(zero_copy_only=False).astype("int32")

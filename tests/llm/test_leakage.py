@@ -96,6 +96,20 @@ def test_long_document_is_compared_in_blocks(spark, monkeypatch):
     assert [r["doc_id"] for r in paraphrased_items(spark, d, i).collect()] == [1]
 
 
+def test_words_are_numbered_as_they_are_cut():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(50)]
+    texts = pa.array([None if k % 17 == 0 else "" if k % 13 == 0 else " ".join(rng.choice([w, w.upper() + ",", "ünï", "\n-"]) for w in rng.choices(words, k=rng.randint(1, 40))) for k in range(3000)])
+    encode, place = leakage.encoder(words), {w: i for i, w in enumerate(words)}
+    for at in range(0, 3000, 333):
+        part = texts.slice(at, 333)
+        ids, sizes = encode(part)
+        want = [[place.get(w.decode(), 50) for w in words_of(t)] for t in part.to_pylist()]
+        assert list(sizes) == [len(x) for x in want] and list(ids) == [i for x in want for i in x]
+
+
 def test_empty(spark):
     d, i = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string")
     assert leaked_items(spark, d, i).count() == 0
