@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -35,3 +36,15 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of materialized ``frames``, which nothing may read any more. Spark drops the shuffle files of
+    ended plans only once the driver collects its garbage, so that is asked for too."""
+    spark = SparkSession.active()
+    jvm = spark.sparkContext._jvm
+    for f in {f.rpartition("/")[0] for df in frames for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()

@@ -94,3 +94,54 @@ def test_recall_of_the_bands():
 
 def test_empty(spark):
     assert alike_questions(spark, spark.createDataFrame([], "qa_key bigint, question string")).count() == 0
+
+
+def test_rounds_and_parity_lose_no_pair(spark, monkeypatch):
+    # one band a round, and crowded buckets in every one, find what one round finds
+    from graphloom.llm import neardup
+
+    rows = corpus(90) + [(1000 + i, " ".join(f"c{i}" for i in range(40)) + f" u{i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "qa_key bigint, question string")
+    _, links = similar_pairs(spark, df, "qa_key", "question", similarity=0.4, shingle=1, jaccard=0.7)
+    want = sorted(tuple(r) for r in links.select("a", "b").collect())
+    assert set(want) <= brute(rows, 0.7) and len(want) > 30 * 29 // 2
+    monkeypatch.setattr(neardup, "ROUND_ROWS", 1)
+    monkeypatch.setattr(neardup, "LEAST_BANDS", 27)
+    members, links = similar_pairs(spark, df, "qa_key", "question", similarity=0.4, shingle=1, bucket_block=3, jaccard=0.7)
+    assert sorted(tuple(r) for r in links.select("a", "b").collect()) == want and members.count() == len(rows)
+
+
+def test_parity_differs_in_no_more_bits_than_shingles_differ():
+    import numpy as np
+
+    from graphloom.llm.neardup import _mix, parities
+
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        a, b = (_mix(rng.choice(300, rng.integers(1, 200), replace=False).astype("uint64")) for _ in "ab")
+        pa_, pb = parities(np.concatenate([a, b]), np.array([0, len(a)]))
+        assert np.bitwise_count(pa_ ^ pb).sum() <= len(np.setxor1d(a, b))
+
+
+def test_disk_stays_near_the_size_of_the_texts(spark, monkeypatch):
+    # records alike by chance only, as of one template: what is written at any time, and what is left
+    from pathlib import Path
+
+    from graphloom.llm import neardup
+    from graphloom.session import checkpoint_root
+
+    root, rng = Path(checkpoint_root(spark).removeprefix("file://")), random.Random(2)
+    common = [f"t{i}" for i in range(15)]
+    rows = [(k, " ".join(common + [f"x{rng.randrange(5000)}" for _ in range(30)])) for k in range(3000)]
+    before, most, plain = set(root.glob("*")), [], neardup.materialize
+    used = lambda: sum(p.stat().st_size for d in set(root.glob("*")) - before for p in d.rglob("*.parquet"))
+
+    def watched(df, label="stage"):
+        out = plain(df, label)
+        most.append(used())
+        return out
+
+    monkeypatch.setattr(neardup, "materialize", watched)
+    assert alike_questions(spark, spark.createDataFrame(rows, "qa_key bigint, question string")).count() == 0
+    assert max(most) <= 3.5 * sum(len(t) for _, t in rows)
+    assert {d.name.split("-")[0] for d in set(root.glob("*")) - before} == {"members", "links"}
