@@ -32,6 +32,9 @@ LEAST_SLOTS, MOST_SLOTS = 1 << 18, 1 << 22
 #: Rows (class, band) that one round of bands sends to its buckets, and the bands that a round has at least.
 ROUND_ROWS, LEAST_BANDS = 4_000_000, 4
 
+#: Blocks that a bucket may fill before it is left to several tasks: below that, its rows need not be written and sent again.
+CROWD_BLOCKS = 16
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, vectorised."""
@@ -174,9 +177,10 @@ def similar_pairs(
     which reaches the parameter ``jaccard`` where one is given.
 
     A pair of similarity s meets in some band with probability 1 - (1 - s^rows)^bands. Records whose text is null or
-    holds no word are in no class. Repeated rows of one key count once. A band bucket of many classes is joined in
-    blocks of ``bucket_block`` over several tasks; none is dropped.
+    holds no word are in no class. Repeated rows of one key count once. A band bucket of many classes, more than
+    ``CROWD_BLOCKS`` times ``bucket_block``, is joined in parts of that size over several tasks; none is dropped.
     """
+    crowded = CROWD_BLOCKS * bucket_block
     members, classes = classed(records, key, text, shingle)
     counts, total = document_frequencies(classes, frequency_slots(classes))
     idf = spark.sparkContext.broadcast((np.log((1 + total) / (1.0 + counts)) + 1.0).astype("float32"))
@@ -235,7 +239,7 @@ def similar_pairs(
             now = [at, classes_, size, sketch] if held is None else [np.concatenate(x) for x in zip(held, [at, classes_, size, sketch])]
             # the last bucket may go on in the next batch; of one that is crowded already nothing has to be kept
             end = np.searchsorted(now[0], now[0][-1])
-            tail = len(now[0]) - end > bucket_block or now[0][-1] == crowd
+            tail = len(now[0]) - end > crowded or now[0][-1] == crowd
             held = None if tail else [x[end:] for x in now]
             yield from paired([x if tail else x[:end] for x in now], crowd)
             crowd = now[0][-1] if tail else None
@@ -248,7 +252,7 @@ def similar_pairs(
             return
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         count = np.diff(np.r_[first, len(at)])
-        hot = (count > bucket_block) | (at[first] == crowd if crowd is not None else False)
+        hot = (count > crowded) | (at[first] == crowd if crowd is not None else False)
         _, own, size, sketch = now
         stop = np.repeat(np.where(hot, 0, first + count), count)
         met, i, d = [], np.arange(len(at)), 1
@@ -285,7 +289,7 @@ def similar_pairs(
     candidates = every.where(F.col("b").isNotNull()).select("a", "b")
     rows_in = every.where(F.col("b").isNull())
     if rows_in.take(1):
-        crowds = rows_in.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / bucket_block).cast("int").alias("blocks"))
+        crowds = rows_in.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / crowded).cast("int").alias("blocks"))
         rows_in = rows_in.select("bucket", F.col("a").alias("class"), "size", "sketch").join(crowds, "bucket")
         block = F.pmod(F.xxhash64("class"), F.col("blocks").cast("bigint")).cast("int")
         left = rows_in.select("bucket", F.col("class").alias("a"), F.col("sketch").alias("sa"), F.col("size").alias("na"), block.alias("block"))

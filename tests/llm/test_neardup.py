@@ -97,7 +97,7 @@ def test_empty(spark):
 
 
 def test_rounds_and_parity_lose_no_pair(spark, monkeypatch):
-    # one band a round, and crowded buckets in every one, find what one round finds
+    # three rounds of bands, and crowded buckets in every one, find what one round finds
     from graphloom.llm import neardup
 
     rows = corpus(90) + [(1000 + i, " ".join(f"c{i}" for i in range(40)) + f" u{i}") for i in range(30)]
@@ -107,6 +107,7 @@ def test_rounds_and_parity_lose_no_pair(spark, monkeypatch):
     assert set(want) <= brute(rows, 0.7) and len(want) > 30 * 29 // 2
     monkeypatch.setattr(neardup, "ROUND_ROWS", 1)
     monkeypatch.setattr(neardup, "LEAST_BANDS", 27)
+    monkeypatch.setattr(neardup, "CROWD_BLOCKS", 1)
     members, links = similar_pairs(spark, df, "qa_key", "question", similarity=0.4, shingle=1, bucket_block=3, jaccard=0.7)
     assert sorted(tuple(r) for r in links.select("a", "b").collect()) == want and members.count() == len(rows)
 
